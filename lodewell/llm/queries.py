@@ -5,4 +5,5 @@ MODULES = [
     "lodewell.llm.pieces",
     "lodewell.llm.ranking",
     "lodewell.llm.bpe",
+    "lodewell.llm.generated",
 ]
