@@ -6,4 +6,5 @@ MODULES = [
     "lodewell.llm.ranking",
     "lodewell.llm.bpe",
     "lodewell.llm.generated",
+    "lodewell.llm.credentials",
 ]
