@@ -7,4 +7,5 @@ MODULES = [
     "lodewell.llm.bpe",
     "lodewell.llm.generated",
     "lodewell.llm.credentials",
+    "lodewell.llm.leaks",
 ]
