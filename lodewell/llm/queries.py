@@ -8,4 +8,5 @@ MODULES = [
     "lodewell.llm.generated",
     "lodewell.llm.credentials",
     "lodewell.llm.leaks",
+    "lodewell.llm.abuse",
 ]
