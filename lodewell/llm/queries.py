@@ -9,4 +9,5 @@ MODULES = [
     "lodewell.llm.credentials",
     "lodewell.llm.leaks",
     "lodewell.llm.abuse",
+    "lodewell.llm.syntax",
 ]
