@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name to function of session and directory) and SQL (name to DuckDB text).
-MODULES = ["lodewell.plans.changes", "lodewell.plans.retrieval"]
+MODULES = ["lodewell.plans.changes", "lodewell.plans.retrieval", "lodewell.plans.structure", "lodewell.plans.upkeep"]
 
 
 def load(modules: list[str]) -> tuple[dict, dict]:
