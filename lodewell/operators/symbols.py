@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodewell.session import spread
+
 #: Names that are no calls of interest, by language.
 IGNORED = {
     "python": "if for while with return yield print len range str int float list dict set tuple bool isinstance issubclass super self cls type abs min max sum sorted enumerate zip map filter open input format getattr setattr hasattr delattr property staticmethod classmethod abstractmethod",
@@ -288,7 +290,7 @@ SCHEMA = (
 
 def parse_documents(docs: DataFrame, key: str = "doc_id", language: str = "language", text: str = "text") -> DataFrame:
     """(key, path, language, symbols, imports, calls, called) of docs (key, path, language, text), one row each."""
-    rows = docs.select(F.col(key).alias("k"), "path", F.col(language).alias("language"), F.col(text).alias("t"))
+    rows = spread(docs.select(F.col(key).alias("k"), "path", F.col(language).alias("language"), F.col(text).alias("t")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

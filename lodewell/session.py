@@ -41,3 +41,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read from there, so that a lost executor loses nothing."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where a few small files would keep Python work on fewer.
+
+    Only files that together are smaller than one scan partition per core are dealt out anew, so what is shuffled is bounded
+    by cores times the partition size; larger inputs, and frames that do not read files, are left as they are.
+    """
+    spark = df.sparkSession
+    cores, names = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not names or len(names) >= cores:
+        return df
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    size = sum((p := path(n)).getFileSystem(conf).getFileStatus(p).getLen() for n in names)
+    most = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")))
+    return df.repartition(cores) if size < cores * most else df
