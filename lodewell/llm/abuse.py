@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewell.llm import abuse_words as L
+from lodewell.session import spread
 from lodewell.sources.tables import table
 
 #: Labelled documents that the trees are trained on, at most; fewer than LEAST of either class: the prior alone.
@@ -314,7 +315,7 @@ def abuse_scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
     kind is null where nothing was found. Null and empty texts score at most 0.01. No shuffle; whole texts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # TREES small trees
-    r = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    r = spread(docs.select(F.col(key).alias("k"), F.col(text).alias("t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

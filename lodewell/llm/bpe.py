@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodewell.session import spread
 from lodewell.sources.tables import table
 
 #: Where the public vocabularies lie; set LODEWELL_TOKENIZERS or pass a path to change it.
@@ -113,7 +114,7 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", p
             yield pa.RecordBatch.from_arrays([b.column(0), ids], names=["k", "ids"])
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, ids array<int>").select(F.col("k").alias(key), "ids")
+    return spread(rows).mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, ids array<int>").select(F.col("k").alias(key), "ids")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

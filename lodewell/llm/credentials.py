@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewell.llm.bpe import Encoder, encoder, vocabulary_path
+from lodewell.session import spread
 from lodewell.sources.tables import table
 
 #: Characters per subword at or below which a value is unnatural, by length; see unnatural.
@@ -222,7 +223,7 @@ def _per_text(rows: DataFrame, key: str, text: str, schema: str, make, path: str
         for b in batches:
             yield make(b, enc)
 
-    return r.mapInArrow(run, f"k {r.schema['k'].dataType.simpleString()}, {schema}").withColumnRenamed("k", key)
+    return spread(r).mapInArrow(run, f"k {r.schema['k'].dataType.simpleString()}, {schema}").withColumnRenamed("k", key)
 
 
 def credentials(rows: DataFrame, key: str = "chunk_id", text: str = "content", path: str | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodewell.session import spread
 from lodewell.sources.tables import table
 
 #: Prose is never source: these extensions have no rows.
@@ -158,7 +159,7 @@ def not_hand_written(docs: DataFrame, key: str = "doc_id", path: str = "path", t
             yield out.filter(pa.array([w is not None for w in why], pa.bool_()))
 
     rows = docs.select(F.col(key).alias("k"), F.col(path).alias("p"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, reason string").select(F.col("k").alias(key), "reason")
+    return spread(rows).mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, reason string").select(F.col("k").alias(key), "reason")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodewell.session import spread
 from lodewell.sources.tables import table
 
 #: Words of a k-gram and k-grams of a window: every shared span of six words is seen.
@@ -171,7 +172,7 @@ def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     texts and items of fewer than K words give nothing; repeated items count once; a repeated document row repeats.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    d = spread(docs.select(F.col(key).alias("k"), F.col(text).alias("t")))
     kind, item_kind = d.schema["k"].dataType.simpleString(), items.schema[item].dataType.simpleString()
 
     def scan(shared) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from lodewell.llm import grammars as G
 from lodewell.llm.derive import LINE_END, Grammar
+from lodewell.session import spread
 from lodewell.sources.tables import table
 
 try:
@@ -650,7 +651,7 @@ def unparsable(docs: DataFrame, key: str = "doc_id", path: str = "path", text: s
                     rows.append(i), names.append(NAMES[extension(p)]), why.append(w[0]), at.append(w[1])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int32())), pa.array(names, pa.string()), pa.array(why, pa.string()), pa.array(at, pa.int32())], names=["k", "language", "reason", "at"])
 
-    out = r.filter(wanted & F.col("t").isNotNull()).mapInArrow(run, f"k {r.schema['k'].dataType.simpleString()}, language string, reason string, at int")
+    out = spread(r.filter(wanted & F.col("t").isNotNull())).mapInArrow(run, f"k {r.schema['k'].dataType.simpleString()}, language string, reason string, at int")
     return out.withColumnRenamed("k", key)
 
 
