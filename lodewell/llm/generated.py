@@ -141,6 +141,8 @@ def verdict(path: str | None, text: str | None) -> str | None:
     mean, longest, space = LIMITS[family]
     if s["mean_line"] > mean and s["max_line"] > longest and s["space"] < space and s["alnum"] < 0.9:
         return "minified"
+    if s["mean_line"] > 5 * mean and s["space"] < 2 * space and s["alnum"] < 0.9:
+        return "minified"
     if family in ("js", "ts", "css") and SOURCE_MAP.search(text[-400:]):
         return "minified"
     return None

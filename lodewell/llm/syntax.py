@@ -120,7 +120,9 @@ _SCRIPT_SIGNS = {
 
 
 def _script(types: bool, jsx: bool) -> Language:
-    g = Language(_SCRIPT_TOKENS, G.script(types, jsx), "program", "nl", _SCRIPT_WORDS, _SCRIPT_SIGNS | (_MODS if types else {}))
+    # between tags an apostrophe within a word opens no string
+    tokens = _SCRIPT_TOKENS.replace("|" + _CHR + "|", r"|(?<!\w)" + _CHR + "|") if jsx else _SCRIPT_TOKENS
+    g = Language(tokens, G.script(types, jsx), "program", "nl", _SCRIPT_WORDS, _SCRIPT_SIGNS | (_MODS if types else {}))
     c = g.of
     g.fixed["\n"] = g.known["\n"] = LINE_END
     if not jsx:
