@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from lodewell.functions import text as X
-from lodewell.operators import chunkers, graph, symbols
+from lodewell.operators import chunkers, graph, symbols, tokens
 from lodewell.plans import corpus as C
 from lodewell.sources import files
 from lodewell.sources.tables import table
@@ -97,6 +99,17 @@ def vector_codec(spark, d):
     return b.select("vec_id", F.round(F.sqrt(X.dot(F.col("v"), F.col("v"))), 5).alias("norm"), F.size(back).alias("dimensions"))
 
 
+def bpe_windows(spark, d):
+    """Windows by tokens of a public vocabulary where it is installed, else by characters."""
+    path = os.path.join(os.environ.get("LODEWELL_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
+    return tokens.split_documents(table(spark, d, "documents"), 256, 32, path).groupBy("doc_id").agg(F.count(F.lit(1)).alias("windows"), F.sum(F.length("content")).alias("chars"))
+
+
+def bpe_counts(spark, d):
+    path = os.path.join(os.environ.get("LODEWELL_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
+    return table(spark, d, "documents").select("doc_id", tokens.count_tokens(F.col("text"), path).alias("tokens"))
+
+
 def _sections(kind: str):
     def run(spark, d):
         docs = C.documents(spark, d).filter(F.col("language") == kind)
@@ -208,7 +221,7 @@ _SCAN = files.any_of([*files.EXCLUDED, *(f"**/{e}" for e in files.EXCLUDED)]).re
 _G = f"WITH RECURSIVE {C.GRAPH_SQL}"
 _BOTH = "g_both AS (SELECT from_id AS a, to_id AS b FROM g_edge UNION SELECT to_id, from_id FROM g_edge)"
 QUERIES = {f.__name__: f for f in (scan_languages, scan_filter, document_listing, chunk_windows, chunk_token_stats, chunk_bounded, chunk_line_blocks, chunk_whole, content_hash_groups, identifier_terms, short_hashes, workspace_slugs,
-    chunk_metadata, embedding_inputs, call_names, vector_codec, _sections("markdown"), _sections("yaml"), _sections("json"), _sections("toml"), wikilinks, parsed_symbols, parsed_calls, symbol_chunks, parse_cache, code_graph, import_resolution,
+    chunk_metadata, embedding_inputs, call_names, vector_codec, bpe_windows, bpe_counts, _sections("markdown"), _sections("yaml"), _sections("json"), _sections("toml"), wikilinks, parsed_symbols, parsed_calls, symbol_chunks, parse_cache, code_graph, import_resolution,
     graph_expand, graph_distances, graph_neighbours, graph_degrees, graph_curated, graph_label_search, graph_filtered, graph_adjacency, edge_dedup)}
 SQL = {
     "scan_languages": f"WITH {C.DOC_SQL} SELECT kind, language, count(*) AS files FROM v_doc GROUP BY 1, 2",
