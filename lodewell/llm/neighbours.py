@@ -29,6 +29,8 @@ COPIES = 2
 BLOCK, SLACK = 16, 2.1
 #: Vectors compared at once within a list; bounds a task's memory at TILE x TILE numbers.
 TILE = 1_024
+#: Vectors whose nearest lists are sought at once.
+ASSIGNED = 512
 #: A vector with more exact copies than this, or than one in HOT_SHARE of all rows, is handled as a hot group.
 HOT, HOT_SHARE = 1_000, 1_000
 
@@ -178,7 +180,8 @@ def similar_vectors(
                     continue
                 x = unit(list(s["e"])).astype(np.float32)
                 r = min(copies, len(c))
-                near = np.argpartition(-(x @ c.T), r - 1, axis=1)[:, :r]
+                # few rows at once: with all centroids, a whole batch would not fit beside the other workers
+                near = np.concatenate([np.argpartition(-(x[a : a + ASSIGNED] @ c.T), r - 1, axis=1)[:, :r] for a in range(0, len(x), ASSIGNED)])
                 body = [np.asarray(e, np.float32).tobytes() for e in s["e"]]
                 for j in range(r):
                     yield pd.DataFrame({"l": [f"{g!r}/{m}" for m in near[:, j]], "id": s["id"].to_numpy(), "e": body})
