@@ -25,6 +25,8 @@ SAMPLE = 65_536
 LIST_SIZE, MOST_LISTS = 400, 8_192
 #: Lists that hold each vector.
 COPIES = 2
+#: Lists that a row looks into where only some rows ask.
+PROBES = 64
 #: Columns of a block, and the slack of the abandoning test: (1 + SLACK / sqrt(columns)) on the distance.
 BLOCK, SLACK = 16, 2.1
 #: Vectors compared at once within a list; bounds a task's memory at TILE x TILE numbers.
@@ -63,8 +65,8 @@ def unit(e: list[np.ndarray]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def scan_list(x: np.ndarray, ids: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, row, cosine) of each row's k most similar others in x at cosine >= floor.
+def scan_list(x: np.ndarray, ids: np.ndarray, k: int, floor: float, asks: np.ndarray, stands: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, cosine): of each row in asks the k most similar other rows in stands at cosine >= floor.
 
     Ties (cosine rounded to 9 decimals) go to the smaller id.
     """
@@ -74,11 +76,11 @@ def scan_list(x: np.ndarray, ids: np.ndarray, k: int, floor: float) -> tuple[np.
     norms = [np.einsum("ij,ij->i", turned[:, b], turned[:, b]) for b in blocks]
     bound = np.full(n, 2 - 2 * floor + 1e-6, np.float32)  # squared distance of the k-th best so far
     qa, qb, qc = [], [], []
-    for lo in range(0, n, TILE):
-        rows = np.arange(lo, min(lo + TILE, n))
+    for lo in range(0, len(asks), TILE):
+        rows = asks[lo : lo + TILE]
         best_a, best_b, best_c = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        for at in range(0, n, TILE):
-            cols = np.arange(at, min(at + TILE, n))
+        for at in range(0, len(stands), TILE):
+            cols = stands[at : at + TILE]
             part = norms[0][rows][:, None] + norms[0][cols][None, :] - 2 * (turned[rows, blocks[0]] @ turned[cols, blocks[0]].T)
             seen = blocks[0].stop
             test = (bound[rows] * (seen / d) * (1 + SLACK / math.sqrt(seen)) ** 2)[:, None] if seen < d else bound[rows][:, None]
@@ -107,25 +109,37 @@ def scan_list(x: np.ndarray, ids: np.ndarray, k: int, floor: float) -> tuple[np.
     return np.concatenate(qa), np.concatenate(qb), np.concatenate(qc)
 
 
-def compare_list(ids: np.ndarray, e: list[np.ndarray], k: int, floor: float) -> pd.DataFrame:
-    """(a, b, cosine) in one list; exact copies are compared once and then listed by smallest ids."""
+def compare_list(ids: np.ndarray, e: list[np.ndarray], role: np.ndarray, k: int, floor: float) -> pd.DataFrame:
+    """(a, b, cosine) in one list: for rows of role & 2 their most similar among rows of role & 1.
+
+    Exact copies are compared once and then listed by smallest ids.
+    """
     x = unit(e)
     distinct, where = np.unique(x.view([("", x.dtype)] * x.shape[1]).ravel(), return_inverse=True)
-    order = np.lexsort((ids, where))
-    where_o, ids_o = where[order], ids[order]
-    start = np.searchsorted(where_o, np.arange(len(distinct) + 1))
-    rep = order[start[:-1]]
-    a, b, c = scan_list(x[rep], ids[rep], k, floor)
-    members = np.diff(start)
-    several = np.nonzero(members > 1)[0]
+    n = len(distinct)
+    rep = np.zeros(n, np.int64)
+    rep[where] = np.arange(len(where))
+
+    def members(kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.flatnonzero(role & kind)
+        at = at[np.lexsort((ids[at], where[at]))]
+        first = np.searchsorted(where[at], np.arange(n + 1))
+        return at, first[:-1], np.diff(first)
+
+    asked, ask_at, ask_n = members(2)
+    stood, stand_at, stand_n = members(1)
+    least = np.full(n, np.iinfo(np.int64).max)
+    least[stand_n > 0] = ids[stood[stand_at[stand_n > 0]]]
+    a, b, c = scan_list(x[rep], least, k, floor, np.flatnonzero(ask_n), np.flatnonzero(stand_n))
+    several = np.flatnonzero((ask_n > 0) & (stand_n > 0) & (np.bincount(where, minlength=n) > 1))
     # a copy's own group first, then its neighbours' groups; of each the k + 1 smallest ids are enough
     a, b, c = np.concatenate([several, a]), np.concatenate([several, b]), np.concatenate([np.ones(len(several)), c])
-    left, right = members[a], np.minimum(members[b], k + 1)
+    left, right = ask_n[a], np.minimum(stand_n[b], k + 1)
     pair = np.repeat(np.arange(len(a)), left * right)
     step = np.arange(len(pair)) - np.repeat(np.cumsum(left * right) - left * right, left * right)
-    i, j = start[a[pair]] + step // right[pair], start[b[pair]] + step % right[pair]
+    i, j = asked[ask_at[a[pair]] + step // right[pair]], stood[stand_at[b[pair]] + step % right[pair]]
     other = i != j
-    pa, pb, pc = ids_o[i[other]], ids_o[j[other]], c[pair[other]]
+    pa, pb, pc = ids[i[other]], ids[j[other]], c[pair[other]]
     order = np.lexsort((pb, -pc, pa))
     pa, pb, pc = pa[order], pb[order], pc[order]
     keep = np.arange(len(pa)) - np.searchsorted(pa, pa, "left") < k
@@ -143,7 +157,7 @@ def _usable(e: str, n: str) -> Column:
 
 
 def similar_vectors(
-    rows: DataFrame, groups: list[str], key: str = "embedding_id", vector: str = "embedding", k: int = 10, floor: float = -1.0, copies: int = COPIES, basis: DataFrame | None = None, valid: Column | None = None
+    rows: DataFrame, groups: list[str], key: str = "embedding_id", vector: str = "embedding", k: int = 10, floor: float = -1.0, copies: int = COPIES, basis: DataFrame | None = None, valid: Column | None = None, wanted: Column | None = None, probes: int = PROBES
 ) -> DataFrame:
     """(key_a, key_b, cosine, position): for each vector its k most similar of the same group.
 
@@ -151,12 +165,13 @@ def similar_vectors(
     with cosine >= floor are sought; a floor makes both the abandoning test and the lists sharper. Cosine is
     exact, rounded to 9 decimals; ties go to the smaller key; a vector is not its own neighbour, but its
     exact copies are. basis, rows that include all of `rows` and cost less to read, serves for the sample (those
-    that meet `valid`) and for finding vectors with very many copies. Recall depends on copies and list size and is measured in the tests. An empty input, or
+    that meet `valid`) and for finding vectors with very many copies. wanted, a condition on key, asks for some rows'
+    neighbours only; those rows then look into their `probes` nearest lists. Recall depends on copies and list size and is measured in the tests. An empty input, or
     a group of one vector, gives no rows. Null group values form a group.
     """
     spark = rows.sparkSession
     shape = [F.col(key).alias("id"), F.col(vector).alias("e"), F.struct(*groups).alias("g")]
-    v, every = rows.select(*shape), (rows if basis is None else basis).select(*shape)
+    v, every = rows.select(*shape, (F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))).alias("w")), (rows if basis is None else basis).select(*shape)
     # the bounded sample that the index is fitted on
     n = every.count()
     share = min(1.0, SAMPLE / max(n, 1))
@@ -174,20 +189,30 @@ def similar_vectors(
         for f in frames:
             names = f["g"].map(lambda r: tuple(r.values()) if isinstance(r, dict) else tuple(r))
             for g, s in f.groupby(names, sort=False):
-                c = lists.get(g)
+                c, body = lists.get(g), np.array([np.asarray(e, np.float32).tobytes() for e in s["e"]], object)
+                key, ask = s["id"].to_numpy(), s["w"].to_numpy(bool)
                 if c is None or len(c) == 1:
-                    yield pd.DataFrame({"l": [f"{g!r}/0"] * len(s), "id": s["id"].to_numpy(), "e": [np.asarray(e, np.float32).tobytes() for e in s["e"]]})
+                    yield pd.DataFrame({"l": [f"{g!r}/0"] * len(s), "id": key, "e": body, "role": (1 + 2 * ask).astype(np.int32)})
                     continue
                 x = unit(list(s["e"])).astype(np.float32)
                 r = min(copies, len(c))
                 # few rows at once: with all centroids, a whole batch would not fit beside the other workers
-                near = np.concatenate([np.argpartition(-(x[a : a + ASSIGNED] @ c.T), r - 1, axis=1)[:, :r] for a in range(0, len(x), ASSIGNED)])
-                body = [np.asarray(e, np.float32).tobytes() for e in s["e"]]
-                for j in range(r):
-                    yield pd.DataFrame({"l": [f"{g!r}/{m}" for m in near[:, j]], "id": s["id"].to_numpy(), "e": body})
+                for lo in range(0, len(x), ASSIGNED):
+                    far = -(x[lo : lo + ASSIGNED] @ c.T)
+                    near = np.argpartition(far, r - 1, axis=1)[:, :r]
+                    part, a = body[lo : lo + ASSIGNED], ask[lo : lo + ASSIGNED]
+                    for j in range(r):
+                        yield pd.DataFrame({"l": [f"{g!r}/{m}" for m in near[:, j]], "id": key[lo : lo + ASSIGNED], "e": part, "role": (1 + 2 * a).astype(np.int32)})
+                    more = min(probes, len(c))
+                    if not ask.all() and more > r and a.any():
+                        np.put_along_axis(far, near, -np.inf, axis=1)
+                        wide = np.argpartition(far[a], more - 1, axis=1)[:, :more]
+                        keep = ~(wide[:, :, None] == near[a][:, None, :]).any(2)
+                        q, m = np.nonzero(keep)
+                        yield pd.DataFrame({"l": [f"{g!r}/{v}" for v in wide[q, m]], "id": key[lo : lo + ASSIGNED][a][q], "e": part[a][q], "role": np.full(len(q), 2, np.int32)})
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
-        return compare_list(f["id"].to_numpy(), [np.frombuffer(e, np.float32) for e in f["e"]], k, floor)
+        return compare_list(f["id"].to_numpy(), [np.frombuffer(e, np.float32) for e in f["e"]], f["role"].to_numpy(), k, floor)
 
     # vectors with very many exact copies: only the first k + 1 go to the lists, the rest are answered by those
     print_of = F.struct(F.col("g"), F.xxhash64("e").alias("h1"), F.hash("e").alias("h2"))
@@ -202,11 +227,11 @@ def similar_vectors(
         first = warm.withColumn("r", F.row_number().over(Window.partitionBy("g", "h1", "h2").orderBy("id"))).filter(F.col("r") <= k + 1)
         lead = first.groupBy("g", "h1", "h2").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # k + 1 ids each
         rest = warm.join(F.broadcast(lead), ["g", "h1", "h2"])
-        extra = rest.select(F.col("id").alias("a"), F.explode("ids").alias("b"), F.lit(1.0).alias("cosine")).filter("a <> b")
-        v = cold.select("id", "e", "g").unionByName(first.select("id", "e", "g"))
+        extra = rest.filter("w").select(F.col("id").alias("a"), F.explode("ids").alias("b"), F.lit(1.0).alias("cosine")).filter("a <> b")
+        v = cold.select("id", "e", "g", "w").unionByName(first.select("id", "e", "g", "w"))
 
     kind = v.schema["id"].dataType.simpleString()
-    listed = v.mapInPandas(assign, f"l string, id {kind}, e binary")
+    listed = v.mapInPandas(assign, f"l string, id {kind}, e binary, role int")
     pairs = listed.groupBy("l").applyInPandas(compare, f"a {kind}, b {kind}, cosine double")
     if extra is not None:
         pairs = pairs.unionByName(extra)
@@ -239,5 +264,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least(a, b).alias("embedding_id_a"), F.greatest(a, b).alias("embedding_id_b")).distinct()
 
 
-QUERIES = {"p1_found": p1_found}
+def p1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar of all vectors for every vector whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "chunk_embeddings")
+    near = similar_vectors(latest_usable(rows), ["provider", "model", "dimensions"], k=10, basis=rows, valid=_usable(*VALID), wanted=F.col("embedding_id") % 50 == 0)
+    return near.select("embedding_id_a", "embedding_id_b", "cosine", "position")
+
+
+QUERIES = {"p1_found": p1_found, "p1_topk": p1_topk}
 SQL: dict[str, str] = {}

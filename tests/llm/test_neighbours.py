@@ -81,3 +81,12 @@ def test_rotation_keeps_products(d):
     r = N.rotation(d)
     assert np.allclose(r @ r.T, np.eye(d), atol=1e-5)
     assert F is not None
+
+
+def test_some_rows_ask(spark, monkeypatch):
+    monkeypatch.setattr(N, "LIST_SIZE", 40)
+    x, ids = clusters(600, d=16, seed=9), np.arange(600)
+    x[100:110] = x[100]
+    want = {p for p in brute(ids, x.astype(float), 5, -1.0) if p[0] % 10 == 0}
+    got = pairs(N.similar_vectors(frame(spark, ids, x), GROUPS, k=5, wanted=F.col("embedding_id") % 10 == 0, probes=12))
+    assert all(a % 10 == 0 for a, _ in got) and len(got & want) / len(want) >= 0.9
