@@ -103,7 +103,8 @@ def json_valid(meta: Column) -> Column:
 
 def search_text(meta: Column, content: Column) -> Column:
     """What the index reads of a chunk: its metadata's searchText, unless blank, above its content."""
-    extra = F.regexp_replace(json_text(meta, "searchText"), r"^[\s ﻿ - 　]+|[\s ﻿ - 　]+$", "")
+    named = F.when(meta.contains("searchText"), json_text(meta, "searchText"))  # most rows need no parsing
+    extra = F.regexp_replace(named, r"^[\s ﻿ - 　]+|[\s ﻿ - 　]+$", "")
     return F.when(F.coalesce(F.length(extra), F.lit(0)) > 0, F.concat_ws("\n", extra, F.coalesce(content, F.lit("")))).otherwise(F.coalesce(content, F.lit("")))
 
 

@@ -10,7 +10,8 @@ from lodewell.sources.tables import table
 
 #: Parser versions whose output is still good.
 PARSER_VERSIONS = ["oxc-v2", "native-v1", "fallback-v1"]
-PROVIDER, MODEL = "local", "code-mini-64:openez-code-v1"
+#: The provider, and the model with its version suffix.
+PROVIDER, MODEL = "local", "code-mini-64:%-code-v1"
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +23,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "content_hash")
     parse = changed_records(docs, state, "doc_id", "content_hash", "document_id", "content_hash", F.col("parser_version").isin(PARSER_VERSIONS))
 
-    vectors = table(spark, sf_dir, "chunk_embeddings").filter((F.col("provider") == PROVIDER) & (F.col("model") == MODEL))
+    vectors = table(spark, sf_dir, "chunk_embeddings").filter((F.col("provider") == PROVIDER) & F.col("model").like(MODEL))
     vectors = vectors.select("chunk_id", "embedding_id", "input_hash", "created_at")
     state = latest_by(vectors, ["chunk_id"], [F.desc_nulls_last("created_at"), F.desc_nulls_last("embedding_id"), F.desc_nulls_last("input_hash")])
     chunks = table(spark, sf_dir, "chunks").select("chunk_id", "content_hash")
@@ -39,7 +40,7 @@ pl AS (
   SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY parsed_at DESC NULLS LAST, run_id DESC NULLS LAST, content_hash DESC NULLS LAST, parser_version DESC NULLS LAST) AS rn FROM pr),
 el AS (
   SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY created_at DESC NULLS LAST, embedding_id DESC NULLS LAST, input_hash DESC NULLS LAST) AS rn
-  FROM chunk_embeddings WHERE provider = 'local' AND model = 'code-mini-64:openez-code-v1')
+  FROM chunk_embeddings WHERE provider = 'local' AND model LIKE 'code-mini-64:%-code-v1')
 SELECT DISTINCT 'parse' AS stage, d.doc_id AS record_id
 FROM documents d LEFT JOIN (SELECT * FROM pl WHERE rn = 1) s ON s.document_id = d.doc_id
 WHERE d.content_hash IS NOT NULL

@@ -91,14 +91,19 @@ def embedding_dedup(spark, d):
     return vectors.dedup(table(spark, d, "chunk_embeddings")).select("chunk_id", "provider", "model", "embedding_id", "input_hash")
 
 
+def _code_vectors(spark, d):
+    """chunk_embeddings with models named without their version suffix."""
+    return table(spark, d, "chunk_embeddings").withColumn("model", F.split_part("model", F.lit(":"), F.lit(1)))
+
+
 def embedding_pending(spark, d):
     c = table(spark, d, "chunks").select("chunk_id").distinct()
-    return vectors.to_embed(c, table(spark, d, "chunk_embeddings"), "local", "code-mini-64:openez-code-v1")
+    return vectors.to_embed(c, _code_vectors(spark, d), "local", "code-mini-64")
 
 
 def embedding_reuse(spark, d):
     c = table(spark, d, "chunks").select("chunk_id", F.col("content_hash").alias("input_hash")).distinct()
-    return vectors.reuse(c, table(spark, d, "chunk_embeddings"), "local", "code-mini-64:openez-code-v1").select("chunk_id", "reused_from")
+    return vectors.reuse(c, _code_vectors(spark, d), "local", "code-mini-64").select("chunk_id", "reused_from")
 
 
 def embedding_upsert(spark, d):
@@ -110,7 +115,7 @@ def embedding_upsert(spark, d):
 def embed_offline(spark, d):
     """Vectors of all pending chunks by the offline embedder."""
     c = C.chunks(spark, d)
-    p = vectors.to_embed(c, table(spark, d, "chunk_embeddings"), "local", "code-mini-64:openez-code-v1").select("chunk_id", F.concat_ws("\n", "path", "heading", "content").alias("input"))
+    p = vectors.to_embed(c, _code_vectors(spark, d), "local", "code-mini-64").select("chunk_id", F.concat_ws("\n", "path", "heading", "content").alias("input"))
     return vectors.embed(p, vectors.hashing_embedder(64)).select("chunk_id", F.size("embedding").alias("dimensions"), "error")
 
 
@@ -272,7 +277,7 @@ quality AS (SELECT i.item_id AS query_id, coalesce(len(expected_paths), 0) > 0 A
 
 QUERIES = {f.__name__: f for f in (fts_search, fts_terms, fts_search_repeated_term, fts_document_frequency, fts_lengths, fts_index_check, fts_orphans, fts_backfill, vector_search, vector_pairs, vector_boost_counts,
     embedding_dedup, embedding_pending, embedding_reuse, embedding_upsert, embed_offline, rrf_two_lists, rrf_with_graph, pack_budget, render_context, token_attribution, retrieval_metrics, hybrid_search, retrieval_eval, retrieval_summary)}
-_LOCAL = "provider = 'local' AND model = 'code-mini-64:openez-code-v1'"
+_LOCAL = "provider = 'local' AND split_part(model, ':', 1) = 'code-mini-64'"
 SQL = {
     "fts_search": f"{_FTS} SELECT query_id, chunk_id, path, score, rank FROM found",
     "fts_terms": f"WITH {_prefix_sql('query_logs').lstrip()} SELECT query_id, n, prefix FROM q_prefix",
