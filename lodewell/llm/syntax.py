@@ -12,6 +12,7 @@ import functools
 import io
 import json
 import re
+import sys
 import tomllib
 import warnings
 from collections.abc import Callable, Iterator
@@ -556,38 +557,41 @@ class Yaml:
         return None if r is None else ("truncated", len(text)) if r >= len(out) else ("invalid", at[r])
 
 
-def _exact_python(text: str) -> bool:
+# An exact parser that overflows on deep nesting has decided nothing: None.
+
+
+def _exact_python(text: str) -> bool | None:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
             ast.parse(text.removeprefix("\ufeff"))
         except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-            return isinstance(e, (RecursionError, MemoryError))
+            return None if isinstance(e, (RecursionError, MemoryError)) else False
         return True
 
 
-def _exact_json(text: str) -> bool:
+def _exact_json(text: str) -> bool | None:
     def no(x: str):
         raise ValueError(x)
 
     try:
         json.loads(text, parse_constant=no)
     except RecursionError:
-        return True
+        return None
     except ValueError:
         return False
     return True
 
 
-def _exact_toml(text: str) -> bool:
+def _exact_toml(text: str) -> bool | None:
     try:
         tomllib.loads(text)
     except (ValueError, RecursionError) as e:
-        return isinstance(e, RecursionError)
+        return None if isinstance(e, RecursionError) else False
     return True
 
 
-def _exact_yaml(text: str) -> bool:
+def _exact_yaml(text: str) -> bool | None:
     if yaml is None:
         return False
     loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
@@ -595,7 +599,7 @@ def _exact_yaml(text: str) -> bool:
         for _ in yaml.parse(io.StringIO(text), Loader=loader):
             pass
     except (yaml.YAMLError, RecursionError) as e:
-        return isinstance(e, RecursionError)
+        return None if isinstance(e, RecursionError) else False
     return True
 
 
@@ -622,16 +626,18 @@ def extension(path: str | None) -> str | None:
 def check(path: str | None, text: str | None) -> tuple[str, int] | None:
     """('invalid' or 'truncated', offset of the failing token) of a text that is not valid for its path.
 
-    None for valid texts, other extensions, null paths, and null or empty texts.
+    None for valid texts, other extensions, null paths, and null or empty texts. Where the exact parser overflows on
+    deep nesting, the grammar's verdict stands; the grammar itself takes any depth.
     """
     name = extension(path)
     if name is None or not text:
         return None
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(limit + 50 * len(text))  # derivatives go as deep as the text nests, in frames of Python alone
     try:
         wrong = language(name).error(text.removeprefix("\ufeff"))
-    except RecursionError:
-        language.cache_clear()
-        wrong = None if name not in EXACT else ("invalid", 0)
+    finally:
+        sys.setrecursionlimit(limit)
     if wrong is not None and name in EXACT and EXACT[name](text):
         return None
     return wrong

@@ -135,3 +135,10 @@ def test_unparsable_frame(spark):
     df = spark.createDataFrame([(1, "A.PY", "def (", "z"), (2, "b.go", None, "z"), (3, None, "((", "z"), (4, "c.yml", "a: b: c", "z"), (5, "d.md", "((", "z")], "doc_id int, path string, text string, language string")
     assert sorted((r["doc_id"], r["language"]) for r in syntax.unparsable(df).collect()) == [(1, "python"), (4, "yaml")]
     assert syntax.unparsable(df.filter("false")).count() == 0
+
+
+def test_deep_nesting_is_no_excuse():
+    """An exact parser that overflows does not overrule the grammar, and the grammar takes any depth."""
+    assert syntax.check("a.json", "[" * 20_000)[0] == "truncated" and syntax.check("a.json", "[" * 20_000 + "]" * 20_000) is None
+    assert syntax.check("a.py", "not " * 20_000 + "x)\n")[0] == "invalid" and syntax.check("a.py", "x = " + "not " * 20_000 + "x\n") is None
+    assert syntax.check("a.toml", "a = " + "[" * 20_000)[0] == "truncated"
