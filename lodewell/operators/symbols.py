@@ -1,6 +1,6 @@
 """Symbols, imports and calls of source files.
 
-Python is read by its own parser. Go, Rust, Ruby, JavaScript and TypeScript are read from text whose comments and strings
+Python is read by its own parser, or where that fails by lines and indentation. Go, Rust, Ruby, JavaScript and TypeScript are read from text whose comments and strings
 are blanked in place, by declarations and matching block ends; see parse for what is covered.
 """
 
@@ -28,6 +28,7 @@ IGNORED = {
     "javascript": "if for while switch catch return function super typeof await",
 }
 IGNORED = {k: set(v.split()) for k, v in IGNORED.items()}
+_PY_WORDS = set("and as assert async await case class def del elif else except finally from global import in is lambda match nonlocal not or pass raise try".split())
 SCRIPTS = {"typescript", "tsx", "javascript", "jsx"}
 
 
@@ -97,6 +98,46 @@ def _python(text: str) -> Parsed:
     return out
 
 
+def _python_lines(text: str) -> Parsed:
+    """As _python, for files that do not parse: by lines and their indentation, over blanked text."""
+    code, out, lines, spans = blank(text, "python"), Parsed(), _Lines(text), []
+    stack: list[tuple[int, str, str, int, int]] = []  # indentation, name, kind, first line, offset
+    decorators: list[tuple[int, str]] = []
+    end, end_line, at = 0, 0, 0
+
+    def close(depth: int) -> None:
+        while stack and stack[-1][0] >= depth:
+            _, name, kind, first, start = stack.pop()
+            out.symbols.append((name, kind, not name.rpartition("::")[2].startswith("_"), first, end_line))
+            spans.append((start, end + 1, name))
+
+    for number, line in enumerate(code.split("\n"), 1):
+        start, at = at, at + len(line) + 1
+        bare = line.strip()
+        if not bare or bare[0] in ")]}" or re.match(r"<{7}|={7}|>{7}|\|{7}", line):
+            if bare and bare[0] in ")]}":
+                end, end_line = at - 1, number
+            continue
+        depth = len(line[: len(line) - len(line.lstrip())].expandtabs())
+        close(depth)
+        end, end_line = at - 1, number
+        if m := re.match(r"@\s*([\w.]+)", bare):
+            decorators.append((number, m[1].rpartition(".")[2]))
+        elif m := re.match(r"(?:async\s+)?(def|class)\s+(\w+)", bare):
+            name = f"{stack[-1][1]}::{m[2]}" if stack else m[2]
+            stack.append((depth, name, "class" if m[1] == "class" else "method" if stack else "function", decorators[0][0] if decorators else number, start))
+            out.calls += [(name, d) for _, d in decorators if d not in IGNORED["python"]]
+            decorators = []
+    close(0)
+    for m in re.finditer(r"^[ \t]*import[ \t]+([^\n;]+)", code, re.M):
+        out.imports += [n for a in m[1].split(",") if (n := re.split(r"\s+as\s+", a.strip())[0].strip()) and re.fullmatch(r"[\w.]+", n)]
+    for m in re.finditer(r"^[ \t]*from[ \t]+(\.*[ \t]*[\w.]*)[ \t]+import[ \t]*(?:\(([^)]*)\)?|([^\n;(]+))", code, re.M):
+        base = m[1].replace(" ", "")
+        names = [re.split(r"\s+as\s+", a.strip())[0] for a in (m[2] or m[3] or "").split(",")]
+        out.imports += [base, *(base + ("" if base.endswith(".") else ".") + n for n in names if re.fullmatch(r"\w+", n))]
+    return _with_calls(out, code, lines, spans, r"\b([A-Za-z_]\w*)\s*\(", IGNORED["python"] | _PY_WORDS, r"\b(?:def|class)\s+$|@\s*$")
+
+
 def _close(code: str, at: int) -> int:
     """Offset behind the brace that closes the one at or after `at`; the text's end if none does."""
     depth = 0
@@ -263,7 +304,10 @@ def parse(language: str | None, text: str | None) -> Parsed:
         return Parsed()
     try:
         if language == "python":
-            p = _python(text)
+            try:
+                p = _python(text)
+            except (SyntaxError, ValueError, RecursionError, MemoryError):
+                p = _python_lines(text)
         elif language == "go":
             p = _go(text)
         elif language == "rust":
