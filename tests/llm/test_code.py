@@ -21,7 +21,20 @@ from lodewell.llm.derive import Grammar
     ],
 )
 def test_generated(path, text, want):
-    assert generated.verdict(path, text) == want
+    got = generated.verdict(path, text)
+    assert (got and got[0]) == want
+
+
+def test_generated_evidence():
+    long = "# Licence text, line after line.\n" * 3000  # a head of any length is read to its end
+    assert generated.verdict("a.py", long + "# Automatisch erzeugt von x - bitte nicht von Hand ändern\nx = 1") == ("generated", "notice")
+    for line in ("Fichier produit par x, ne pas modifier à la main", "ARCHIVO GENERADO POR X; NO EDITAR", "source: a.idl compiler: x v1.2 -- machine output, edit the source instead"):
+        assert generated.verdict("src/a.go", f"/*\n * {line}\n */\npackage a") == ("generated", "notice")
+    assert generated.verdict("src/a.go", "package a\n\nfunc f() {}\n// Archivo generado por x; no editar") is None
+    assert generated.verdict("vendor/a.js", "var a=" + "function(b,c){return b+c},d=" * 40) == ("minified", "layout")
+    assert generated.verdict("any/name.json", "{\n" + ('  "integrity": "sha512-' + "aB3/" * 20 + '",\n  "v": 1,\n') * 30 + "}") == ("lock", "layout")
+    assert generated.verdict("a/t.json", "[" + "1234, " * 300 + "1]") == ("data", "layout") and generated.verdict("a/k.pem", "A" * 4000) is None
+    assert generated.verdict("vendor/a.go", None) == ("vendored", "place")
 
 
 def test_generated_frame(spark):
