@@ -1,23 +1,26 @@
 """Evaluation passages that occur in a corpus, wholly or partly (winnowing).
 
 Both sides are reduced to words; every window of WINDOW consecutive k-grams keeps its smallest hash, so any
-shared span of WINDOW + K - 1 words shares a kept hash. Joined hashes name candidate pairs of document and item,
-and each is extended to runs: stretches of both texts, in the item's order, in which few words differ.
+shared span of WINDOW + K - 1 words shares a kept hash. The corpus is winnowed in one pass however many items there are;
+the kept hashes that an item may have, by a bit set of bounded size, are joined with the items' by equality. Joined hashes
+name candidate pairs of document and item, only these meet their texts, and each is extended to runs: stretches of both
+texts, in the item's order, in which few words differ.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewell.session import spread
+from lodewell.session import cut_lineage, spread
 from lodewell.sources.tables import table
 
 #: Words of a k-gram and k-grams of a window: every shared span of six words is seen.
@@ -25,8 +28,12 @@ K, WINDOW = 3, 4
 #: Share of an item's words that must be covered, in at most RUNS runs; what a differing word costs in a run,
 #: and the least share of equal words in it (one word in seven may be altered).
 SHARE, RUNS, COST, EQUAL = 0.4, 2, 3.0, 0.8
-#: Words of items that one pass holds; more items are taken in several passes over the documents.
-PASS_WORDS = 400_000
+#: Shortest run that counts; items of fewer words are found only whole and unaltered.
+LEAST = WINDOW + K - 1
+#: Bits of a bit set at most, and bytes of the blocks it is put together from. More keys make it less selective, never wrong.
+BITS, BLOCK = 1 << 27, 1 << 14
+#: Item fingerprints and item words up to which the item side of a join is sent to every executor; beyond, both sides are shuffled.
+SENT = 1_000_000
 
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|[abfnrtv0])")
 _WORD = re.compile(r"[^\W_]+")
@@ -47,19 +54,33 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _grams(ids: np.ndarray) -> np.ndarray:
-    """Hash of the k-gram that starts at each position; the greatest value where a word is unknown."""
-    n = len(ids) - K + 1
+class Ids(dict):
+    """Words to 64-bit ids, the same everywhere; kept per worker up to a bound."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[w] = h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_ids = Ids()
+
+
+def word_ids(text: str | None) -> np.ndarray:
+    ws = words(text)
+    return np.fromiter(map(_ids.__getitem__, ws), np.uint64, len(ws))
+
+
+def grams(ids: np.ndarray, k: int = K) -> np.ndarray:
+    """Hash of the k-gram that starts at each position; none if there are fewer than k words."""
+    n = len(ids) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    known = np.ones(n, bool)
-    for j in range(K):
-        part = ids[j : j + n]
-        known &= part >= 0
-        h = (h ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    h = np.full(n, k, np.uint64)
+    for j in range(k):
+        h = (h ^ ids[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    h[~known] = np.uint64(0xFFFFFFFFFFFFFFFF)
     return h
 
 
@@ -69,63 +90,55 @@ def winnow(h: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     w = min(WINDOW, len(h))
     view = np.lib.stride_tricks.sliding_window_view(h, w)
-    at = np.arange(len(view)) + (w - 1 - view[:, ::-1].argmin(1))
-    at = np.unique(at)
-    return at[h[at] != np.uint64(0xFFFFFFFFFFFFFFFF)]
-
-
-class Passages:
-    """The fingerprints of a bounded set of items."""
-
-    def __init__(self, items: list[tuple[int, list[str]]]):
-        self.keys = [k for k, _ in items]
-        self.vocabulary: dict[str, int] = {}
-        self.ids = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws], np.int64) for _, ws in items]
-        hashes, owners, places = [], [], []
-        for i, ids in enumerate(self.ids):
-            g = _grams(ids)
-            at = winnow(g)
-            hashes.append(g[at]), owners.append(np.full(len(at), i)), places.append(at)
-        h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hash = h[order]
-        self.owner = np.concatenate(owners)[order] if hashes else np.empty(0, np.int64)
-        self.place = np.concatenate(places)[order] if hashes else np.empty(0, np.int64)
-
-    def candidates(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """Item to (place in item, place in document) of shared fingerprints, for one document or several in a row."""
-        g = _grams(ids)
-        at = winnow(g)
-        lo = np.searchsorted(self.hash, g[at], "left")
-        hi = np.searchsorted(self.hash, g[at], "right")
-        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for p in np.flatnonzero(hi > lo):
-            for j in range(lo[p], hi[p]):
-                out[int(self.owner[j])].append((int(self.place[j]), int(at[p])))
-        return out
-
-    def coverage(self, item: int, ids: np.ndarray, seeds: list[tuple[int, int]]) -> float:
-        """Share of the item's words that its RUNS best runs in the document span, runs in the item's order."""
-        a = self.ids[item]
-        n = len(a)
-        spans, done = set(), set()
-        for i, j in seeds:
-            if (i, j) not in done:
-                r = extend(a, ids, i, j)
-                done.update(zip(range(r[0], r[1]), range(r[2], r[3])))
-                if r[1] - r[0] >= WINDOW + K - 1 and r[4] >= EQUAL * (r[1] - r[0]):
-                    spans.add(r[:4])
-        spans = sorted(spans)
-        best = 0
-        for x, (a0, a1, b0, b1) in enumerate(spans):
-            best = max(best, a1 - a0)
-            for c0, c1, d0, d1 in spans[x + 1 :] if RUNS > 1 else ():
-                if c0 >= a1 - 2 and d0 >= b1 - 2:
-                    best = max(best, min(n, (a1 - a0) + (c1 - c0)))
-        return best / n
-
-
-def extend(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int, int, int, int]:
+    return np.unique(np.arange(len(view)) + (w - 1 - view[:, ::-1].argmin(1)))
+
+
+def item_prints(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) that an item is known by: winnowed k-grams, or all its words as one gram if it is short."""
+    if len(ids) < LEAST:
+        return grams(ids, max(len(ids), 1)), np.zeros(min(len(ids), 1), np.int64)
+    h = grams(ids)
+    at = winnow(h)
+    return h[at], at
+
+
+def text_prints(ids: np.ndarray, short: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of a text: winnowed k-grams and, where short items exist, every gram of their lengths."""
+    h = grams(ids)
+    at = winnow(h)
+    parts = [(h[at], at)]
+    for n in short:
+        g = grams(ids, n)
+        parts.append((g, np.arange(len(g))))
+    return np.concatenate([p for p, _ in parts]), np.concatenate([p for _, p in parts])
+
+
+def coverage(a: list[int], b: list[int], seeds: list[tuple[int, int]]) -> float:
+    """Share of item a's words that its RUNS best runs in text b span, runs in the item's order.
+
+    seeds are (place in a, place in b) of shared hashes. An item of fewer than LEAST words is covered wholly or not at all.
+    """
+    n = len(a)
+    if n < LEAST:
+        return float(any(b[j : j + n] == a for _, j in seeds))
+    spans, done = set(), set()
+    for i, j in seeds:
+        if (i, j) not in done:
+            r = extend(a, b, i, j)
+            done.update(zip(range(r[0], r[1]), range(r[2], r[3])))
+            if r[1] - r[0] >= LEAST and r[4] >= EQUAL * (r[1] - r[0]):
+                spans.add(r[:4])
+    spans = sorted(spans)
+    best = 0
+    for x, (a0, a1, b0, b1) in enumerate(spans):
+        best = max(best, a1 - a0)
+        for c0, c1, d0, d1 in spans[x + 1 :] if RUNS > 1 else ():
+            if c0 >= a1 - 2 and d0 >= b1 - 2:
+                best = max(best, min(n, (a1 - a0) + (c1 - c0)))
+    return best / n
+
+
+def extend(a: list[int], b: list[int], i: int, j: int) -> tuple[int, int, int, int, int]:
     """(a0, a1, b0, b1, equal words): the run through the equal k-grams at a[i] and b[j].
 
     From there words are compared outwards on both sides; a differing word costs COST, an equal one earns 1, one
@@ -164,62 +177,119 @@ def extend(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int, int,
     return p + 1, r, q + 1, s, e + f
 
 
+def bit_set(keys: DataFrame, n: int) -> np.ndarray:
+    """A bit set of the n values of the one bigint column of keys, at most BITS bits: a value whose bit is unset is not among them.
+
+    Each task sets its own bits, blocks of BLOCK bytes are united by number, and at most BITS / 8 bytes come to the driver.
+    """
+    size = min(BITS, max(BLOCK * 8, 1 << max(n * 32 - 1, 1).bit_length()))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = np.unique(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(size - 1)).astype(np.int64)
+            block = at // (BLOCK * 8)
+            for x in np.unique(block):
+                bits = np.zeros(BLOCK * 8, bool)
+                bits[at[block == x] % (BLOCK * 8)] = True
+                packed = np.packbits(bits)
+                mine[int(x)] = mine[int(x)] | packed if int(x) in mine else packed
+        yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.int32()), pa.array([v.tobytes() for v in mine.values()], pa.binary())], names=["x", "v"])
+
+    def unite(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"x": f["x"].iloc[:1], "v": [np.bitwise_or.reduce([np.frombuffer(v, np.uint8) for v in f["v"]]).tobytes()]})
+
+    out = np.zeros(size // 8, np.uint8)
+    for r in keys.mapInArrow(mark, "x int, v binary").groupBy("x").applyInPandas(unite, "x int, v binary").collect():
+        out[r["x"] * BLOCK : (r["x"] + 1) * BLOCK] = np.frombuffer(r["v"], np.uint8)
+    return out
+
+
+def in_set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = (h & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+
+
 def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "text") -> DataFrame:
     """(key, item, coverage): documents that hold at least SHARE of an item's words, in order, in one or two runs.
 
-    Items are held-out tests; they are read to the driver in passes of PASS_WORDS words and broadcast, so what a
-    task holds is bounded however many there are; documents are scanned whole, without a shuffle. Null and empty
-    texts and items of fewer than K words give nothing; repeated items count once; a repeated document row repeats.
+    Documents are read once to be winnowed and once more, by a bit set of candidates, for the texts of candidates only;
+    neither items nor fingerprints come to the driver. The item side of a join is broadcast only if it is counted to be
+    at most SENT rows or words, else both sides are shuffled and AQE splits a fingerprint that many documents share.
+    Null and empty texts, and items without words, give nothing. Items of fewer than LEAST words are found only whole.
+    Repeated items count once; documents repeated in key and text give a row for each.
     """
     spark = docs.sparkSession
-    d = spread(docs.select(F.col(key).alias("k"), F.col(text).alias("t")))
-    kind, item_kind = d.schema["k"].dataType.simpleString(), items.schema[item].dataType.simpleString()
-
-    def scan(shared) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            get = index.vocabulary.get
-            for b in batches:
-                ids = []
-                for t in b.column(1).to_pylist():
-                    ids.append(np.fromiter((get(w, -1) for w in words(t)), np.int64) if t else np.empty(0, np.int64))
-                rows, found, share = [], [], []
-                for r, x in enumerate(ids):
-                    if len(x) < K or not (x >= 0).any():
-                        continue
-                    for i, seeds in index.candidates(x).items():
-                        n = len(index.ids[i])
-                        if len({p for p, _ in seeds}) * (WINDOW + K) * 2 < SHARE * n:
-                            continue  # too few shared fingerprints for any run that would count
-                        if (c := index.coverage(i, x, seeds)) >= SHARE:
-                            rows.append(r), found.append(index.keys[i]), share.append(c)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int32())), pa.array(found, _arrow(item_kind)), pa.array(share, pa.float64())], names=["k", "i", "c"])
-
-        return d.mapInArrow(run, f"k {kind}, i {item_kind}, c double")
-
-    out, block, size, seen = None, [], 0, set()
-    frames = []
-    for row in items.select(F.col(item).alias("i"), F.col(passage).alias("t")).orderBy("i", "t").toLocalIterator():
-        ws = words(row["t"])
-        if len(ws) < K or (row["i"], row["t"]) in seen:
-            continue
-        seen.add((row["i"], row["t"])) if len(seen) < PASS_WORDS else None
-        block.append((row["i"], ws))
-        size += len(ws)
-        if size >= PASS_WORDS:
-            frames.append(scan(spark.sparkContext.broadcast(Passages(block))))
-            block, size = [], 0
-    if block or not frames:
-        frames.append(scan(spark.sparkContext.broadcast(Passages(block))))
-    for f in frames:
-        out = f if out is None else out.unionByName(f)
+    kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
+    d = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.length("t") > 0)
+    d = d.withColumn("u", F.xxhash64("k", "t")).withColumn("v", F.hash("t"))
+    it = items.select(F.col(item).alias("i"), F.col(passage).alias("p")).filter(F.length("p") > 0).distinct().withColumn("w", F.xxhash64("i", "p"))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, hs, at, ns = [], [], [], []
+            for r, p in enumerate(b.column(1).to_pylist()):
+                ids = word_ids(p)
+                h, places = item_prints(ids)
+                rows.append(np.full(len(h), r)), hs.append(h), at.append(places), ns.append(np.full(len(h), len(ids)))
+            r, h, places, n = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, hs, at, ns))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r.astype(np.int32))), pa.array(h.view(np.int64)), pa.array(places.astype(np.int32)), pa.array(n.astype(np.int32))], names=["w", "h", "a", "n"])
+
+    known = cut_lineage(it.select("w", "p").mapInArrow(prints, "w bigint, h bigint, a int, n int"))
+    total, longest = known.agg(F.count(F.lit(1)), F.sum(F.when(F.col("a") == 0, F.col("n")))).first()
+    few = total <= SENT and (longest or 0) <= SENT
+    short = tuple(sorted(r["n"] for r in known.filter(F.col("n") < LEAST).select("n").distinct().collect()))  # LEAST - 1 numbers at most
+    sought = spark.sparkContext.broadcast(bit_set(known.select("h"), total))
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sought.value
+        for b in batches:
+            rows, hs, at = [], [], []
+            for r, t in enumerate(b.column(2).to_pylist()):
+                h, places = text_prints(word_ids(t), short)
+                mine = in_set(bits, h)
+                if mine.any():
+                    rows.append(np.full(int(mine.sum()), r)), hs.append(h[mine]), at.append(places[mine])
+            r, h, places = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, hs, at))
+            take = pa.array(r.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(h.view(np.int64)), pa.array(places.astype(np.int32))], names=["u", "v", "h", "b"])
+
+    seen = spread(d.select("u", "v", "t")).mapInArrow(hits, "u bigint, v int, h bigint, b int")
+    side = known.select("w", "h", "a")
+    pairs = seen.join(F.broadcast(side) if few else side, "h").groupBy("u", "v", "w").agg(F.collect_set(F.struct("a", "b")).alias("seeds"))
+    pairs = cut_lineage(pairs)  # candidates, a small part of the fingerprints
+    pairs_n = pairs.count()
+    wanted = spark.sparkContext.broadcast(bit_set(pairs.select("u").distinct(), pairs_n))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_set(wanted.value, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    texts = d.select("u", "v", "k", "t").mapInArrow(candidates, f"u bigint, v int, k {kind}, t string")
+    pairs = pairs.join(F.broadcast(it) if few else it, "w").select("u", "v", "i", "p", F.transform("seeds", lambda s: s["a"]).alias("a"), F.transform("seeds", lambda s: s["b"]).alias("b"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, b_ids = None, []
+        known_items: dict[str, list[int]] = {}
+        for x in batches:
+            rows, share = [], []
+            for r, (t, p, a, b) in enumerate(zip(*(x.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True)):
+                if t != last:
+                    last, b_ids = t, word_ids(t).tolist()
+                if p not in known_items:
+                    if len(known_items) > 10_000:
+                        known_items.clear()
+                    known_items[p] = word_ids(p).tolist()
+                if (c := coverage(known_items[p], b_ids, sorted(zip(a, b, strict=True)))) >= SHARE:
+                    rows.append(r), share.append(c)
+            take = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([x.column(0).take(take), x.column(1).take(take), pa.array(share, pa.float64())], names=["k", "i", "c"])
+
+    joined = texts.join(pairs, ["u", "v"]).select("k", "i", "t", "p", "a", "b")
+    out = joined.mapInArrow(verify, f"k {kind}, i {item_kind}, c double")
     return out.select(F.col("k").alias(key), F.col("i").alias(item), F.col("c").alias("coverage"))
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation items they leak."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

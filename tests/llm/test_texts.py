@@ -62,20 +62,36 @@ def test_leaks(spark, text, found):
     assert sorted(r["item_id"] for r in leaks.leaked(docs, items).collect()) == found
 
 
-def test_leak_passes_and_empty(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "PASS_WORDS", 10)
-    docs = spark.createDataFrame([(5, ITEMS[0][1]), (6, ITEMS[1][1])], "doc_id bigint, text string")
+def test_leaks_shuffled_and_empty(spark, monkeypatch):
+    docs = spark.createDataFrame([(5, ITEMS[0][1]), (6, ITEMS[1][1]), (6, ITEMS[1][1]), (7, None), (8, "")], "doc_id bigint, text string")
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    assert sorted((r["doc_id"], r["item_id"]) for r in leaks.leaked(docs, items).collect()) == [(5, 1), (6, 2)]
+    for sent in (leaks.SENT, 0):  # the item side broadcast, and both sides shuffled
+        monkeypatch.setattr(leaks, "SENT", sent)
+        assert sorted((r["doc_id"], r["item_id"]) for r in leaks.leaked(docs, items).collect()) == [(5, 1), (6, 2), (6, 2)]
     assert leaks.leaked(docs, items.filter("false")).count() == 0 and leaks.leaked(docs.filter("false"), items).count() == 0
 
 
+def test_short_items_are_found_whole(spark):
+    items = spark.createDataFrame([(1, "seven"), (2, "steel bridges rust"), (3, "grey owls watch from oak")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "Steel bridges, rust! " + "x " * 40), (2, "steel bridges never rust"), (3, "a " * 9 + "grey owls watch from oak"), (4, "grey owls watch from"), (5, "at seven")], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in leaks.leaked(docs, items).collect()) == [(1, 2), (3, 3), (5, 1)]
+
+
+def test_many_items_take_one_pass(spark):
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(r.choices(vocabulary, k=50))) for i in range(20_000)]  # 1,000,000 words
+    docs = spark.createDataFrame([(i, "head of text " + " ".join(rows[i * 37][1].split()[5:35]) + " tail") for i in range(100)], "doc_id bigint, text string")
+    got = leaks.leaked(docs, spark.createDataFrame(rows, "item_id bigint, text string"))
+    assert sorted((x["doc_id"], x["item_id"]) for x in got.collect()) == [(i, i * 37) for i in range(100)]
+
+
 def test_winnowing_keeps_every_shared_span():
     r = np.random.default_rng(0)
     for _ in range(60):
-        span = r.integers(0, 50, leaks.K + leaks.WINDOW - 1)
-        a, b = (np.concatenate([r.integers(0, 50, r.integers(0, 30)), span, r.integers(0, 50, r.integers(0, 30))]) for _ in range(2))
-        ha, hb = leaks._grams(a), leaks._grams(b)
+        span = r.integers(0, 50, leaks.LEAST).astype(np.uint64)
+        a, b = (np.concatenate([r.integers(0, 50, r.integers(0, 30)).astype(np.uint64), span, r.integers(0, 50, r.integers(0, 30)).astype(np.uint64)]) for _ in range(2))
+        ha, hb = leaks.grams(a), leaks.grams(b)
         assert set(ha[leaks.winnow(ha)]) & set(hb[leaks.winnow(hb)])
 
 
