@@ -1,9 +1,10 @@
 """Credentials in source code: finding and blanking them.
 
-A value is suspected from its context (the name it is assigned to, a header, a URL, a provider's prefix) and
-judged by how unnatural it is: random strings need a subword for every one or two characters under a public
-vocabulary, words need far fewer. Placeholders, references and hashes are set aside by rules. Redaction writes
-as many mask characters as the value had, so every offset and the code around it stay as they were.
+A value is put forward by its context (the name it is assigned to, a header, a URL, a provider's prefix, a key block) and
+decided upon by how unnatural it is: random strings need a subword for every one or two characters under a public vocabulary,
+made-up passwords one for every two or three, words far fewer. Rules only exclude: placeholders, references, hashes, ids and
+expressions are set aside however unnatural they are. Redaction writes as many mask characters as the value had, so every
+offset and the code around it stay as they were.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ from lodewell.llm.bpe import Encoder, encoder, vocabulary_path
 from lodewell.session import spread
 from lodewell.sources.tables import table
 
-#: Characters per subword at or below which a value is unnatural, by length; see unnatural.
-RANDOM_CHARS = 2.4
+#: Characters per subword at or below which a value is unnatural: drawn at random, or made up as a password. A value of a
+#: name that is no password also needs RANDOM_LEAST characters in parts that are unnatural by themselves.
+RANDOM_CHARS, PASSWORD_CHARS, RANDOM_LEAST = 2.4, 3.4, 10
 
 _NAME = r"(?:pass(?:w(?:or)?d|phrase)?|pwd|secret|token|jwt|bearer|credentials?|(?:api|access|secret|sign(?:ing)?|encrypt(?:ion)?|cipher|master|payment|stripe|private|account|auth|hmac|service|session|client|license|shared|deploy|webhook)[_-]?keys?)"
 #: Where a line is worth a look.
 TRIGGER = re.compile(
-    r"(?i:passw|pwd|passphrase|secret|token|jwt|bearer|basic |credential|[a-z][_-]?key)|://[^\s/@\"'<>]*:[^\s/@\"'<>]+@"
+    r"(?i:pass|pwd|secret|token|jwt|bearer|basic |credential|[a-z][_-]?key)|://[^\s/@\"'<>]*:[^\s/@\"'<>]+@"
     r"|gh[pousr]_|github_pat_|glpat-|npm_|xox[abeoprs]-|A[KS]IA[A-Z0-9]|[sr]k_live_|sk-[a-z]|AIza|eyJ[A-Za-z0-9]|SG\.|BEGIN [A-Z ]*PRIVATE"
 )
 #: Shapes that providers publish for their keys.
@@ -40,10 +42,10 @@ URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.-]*://([^\s:/@\"'`<>]*):([^\s/@\"'`<>]+
 HEADER = re.compile(r"(?i)\b(?:authorization|proxy-authorization|x-[a-z-]*(?:token|key))[\"']?\s*[:=,]\s*[\"']?(?:(basic|bearer|token|digest)\s+)?([^\s\"'`,;]{6,})")
 #: name, then = : => , or a bracket, optionally a type between, then a quoted or bare value.
 ASSIGNED = re.compile(
-    rf"(?i)([\w.$-]*{_NAME}[\w-]*)[\"'`]?\s*\]?\s*(?::\s*&?(?:'?\w+\s+)?[\w<>\[\]|.]+\s*)?(\|\|=|\?=|:=|=>|=(?!=)|:(?!:)|,)\s*\(?\s*(?:[bfr]|String\.from\()?(\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`|[^\s\"'`,;(){{}}\[\]<>]+)"
+    rf"(?i)(?<![\w.$-])([\w.$-]*{_NAME}[\w-]*)[\"'`]?\s*\]?\s*(?::\s*&?(?:'?\w+\s+)?[\w<>\[\]|.]+\s*)?(\|\|=|\?=|:=|=>|=(?!=)|:(?!:)|,)\s*\(?\s*(?:[bfr]|String\.from\()?(\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`|[^\s\"'`,;(){{}}\[\]<>]+)"
 )
 #: A name and a value in running text.
-SPOKEN = re.compile(rf"(?i)\b([\w-]*{_NAME}[\w-]*)\s+(?:is\s+|was\s+|of\s+)?[\"'`]?([A-Za-z0-9+/_~.!#$%^&*=-]{{8,}})")
+SPOKEN = re.compile(rf"(?i)(?<![\w-])([\w-]*{_NAME}[\w-]*)\s+(?:is\s+|was\s+|of\s+)?[\"'`]?([A-Za-z0-9+/_~.!#$%^&*=-]{{8,}})")
 #: Words in a name that make it something else than the credential itself.
 OTHER_NAME = re.compile(
     r"(?i)(public|ref$|refs$|_?var$|env$|_?id$|ids$|url$|uri$|file$|path$|name$|count$|counts$|size$|len(gth)?$|limit$|index$|hash$|digest|checksum|pattern$|regex$|prefix$|type$|kind$|header$|hint$|label$|field$|column$|policy$|expir\w*$|ttl$|age$|budget$|tokens$|tokeni[sz]er|issuer$|endpoint$)"
@@ -59,6 +61,9 @@ REFERENCE = re.compile(
 UUID = re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: The body of a key block, and what of it is there if its end is missing.
+ENCODED = re.compile(r"(?:[A-Za-z][\w-]*: [^\n]*\n|\\[nrt]|[A-Za-z0-9+/=_\s\"'`+,.#*<>|&\\()-])*")
+CUT_OFF = re.compile(r"(?:\\[nr]|[\s\"'`+,\\]|[A-Za-z0-9+/=_-]{20,}|[A-Za-z][\w-]*: [^\n]*\n)*")
 JOINED = re.compile(r"([\"'`])\s*(?:\+|\.\.?|<<|\\|&)?\s*\1")
 
 
@@ -74,26 +79,29 @@ def placeholder(value: str) -> bool:
 
 
 def unnatural(value: str, enc: Encoder) -> bool:
-    """Whether a string looks drawn at random: letters and digits mixed, and short subwords throughout."""
-    digits = sum(c.isdigit() for c in value)
-    letters = sum(c.isalpha() for c in value)
-    if len(value) < 12 or not digits or not letters:
+    """Whether a string looks drawn at random: letters and digits mixed, and short subwords in RANDOM_LEAST characters or more."""
+    if chars_per_token(value, enc) > RANDOM_CHARS or len(value) < 12 or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
         return False
-    return chars_per_token(value, enc) <= RANDOM_CHARS - (0.4 if len(value) < 20 else 0.0)
+    parts = re.split(r"[^A-Za-z0-9+/=]+", value)
+    return sum(len(p) for p in parts if chars_per_token(p, enc) <= RANDOM_CHARS) >= RANDOM_LEAST
+
+
+def made_up(value: str, enc: Encoder) -> bool:
+    """Whether a string looks made up as a password: shorter subwords than words have, letters with digits or marks."""
+    if chars_per_token(value, enc) > PASSWORD_CHARS or len(value) < 6:
+        return False
+    digit, letter, mark = re.search(r"\d", value), re.search(r"[^\W\d_]", value), re.search(r"[^\w]", value)
+    return bool(letter and (digit or mark and len(value) >= 10 and not re.fullmatch(r"[A-Za-z]+([_.\-/][A-Za-z]+)*", value)))
 
 
 def _credential(name: str, value: str, quoted: bool, enc: Encoder) -> bool:
     """Whether value, given to name, is a usable credential."""
     if OTHER_NAME.search(name) and not re.search(r"(?i)(secret|master|private|access)[_-]?key[_-]?(base|value|default)?$", name):
         return False
-    if placeholder(value) or UUID.match(value) or " " in value or len(name) > 40 or unnatural(name, enc):
+    if placeholder(value) or UUID.match(value) or " " in value or unnatural(name, enc):
         return False
     if PASSWORD_NAME.search(name):
-        digit, letter = re.search(r"\d", value), re.search(r"[A-Za-z]", value)
-        mark = re.search(r"[^A-Za-z0-9]", value)
-        if not quoted and re.search(r"[()\[\]{}]|\w\.\w|::|->", value):
-            return False
-        return 6 <= len(value) <= 200 and bool((digit and letter) or (mark and letter and len(value) >= 10 and quoted and not re.fullmatch(r"[A-Za-z]+([_.\-/][A-Za-z]+)*", value)))
+        return made_up(value, enc) and (quoted or not re.search(r"[()\[\]{}]|\w\.\w|::|->", value))
     return unnatural(value, enc)
 
 
@@ -101,22 +109,19 @@ def find_in_line(line: str, enc: Encoder) -> list[tuple[int, int]]:
     """(start, end) of credential values in one line; key blocks are left to find_credentials."""
     found = []
     for m in PROVIDER.finditer(line):
-        if not placeholder(m[1]) and (m[1].startswith("eyJ") or chars_per_token(m[1], enc) < 3.2):
+        if chars_per_token(m[1], enc) <= RANDOM_CHARS and not placeholder(m[1]):
             found.append(m.span(1))
     for m in URL.finditer(line):
-        if not placeholder(m[2]) and m[2].lower() != m[1].lower():
+        if made_up(m[2], enc) and not placeholder(m[2]) and m[2].lower() != m[1].lower():
             found.append(m.span(2))
     for m in HEADER.finditer(line):
         kind, value = (m[1] or "").lower(), m[2]
         if placeholder(value) or "PUBLIC KEY" in line:
             continue
         if kind == "basic":
-            try:
-                good = b":" in base64.b64decode(value, validate=True)
-            except (binascii.Error, ValueError):
-                good = False
+            good = chars_per_token(value, enc) <= RANDOM_CHARS and _names_a_user(value)
         elif kind:
-            good = bool(re.search(r"\d", value) and re.search(r"[A-Za-z]", value)) and not re.search(r"[(){}]|\w\.\w+\(|^\w+(\.[a-z]\w*)+$", value)
+            good = made_up(value, enc) and bool(re.search(r"\d", value)) and not re.search(r"[(){}]|\w\.\w+\(|^\w+(\.[a-z]\w*)+$", value)
         else:
             good = unnatural(value, enc)
         if good:
@@ -132,12 +137,21 @@ def find_in_line(line: str, enc: Encoder) -> list[tuple[int, int]]:
         if _credential(m[1], line[a:b], quoted, enc):
             found.append((a, b))
     for m in SPOKEN.finditer(line):
-        value = m[2].rstrip(".!")
-        if len(value) >= 12 and _credential(m[1], value, False, enc) and (unnatural(value, enc) or re.search(r"\d", value) and re.search(r"[^\w.-]", value)):
+        value = m[2].rstrip(".")
+        if not _credential(m[1], value, False, enc):
+            continue
+        if unnatural(value, enc) or re.search(r"\d", value) and (len(m[1]) > 4 and PASSWORD_NAME.search(m[1]) or len(value) >= 12 and re.search(r"[^\w.-]", value)):
             found.append((m.start(2), m.start(2) + len(value)))
     return found
 
 
+def _names_a_user(value: str) -> bool:
+    try:
+        return b":" in base64.b64decode(value, validate=True)
+    except (binascii.Error, ValueError):
+        return False
+
+
 def _spans_of(line: str, enc: Encoder) -> list[tuple[int, int]]:
     spans = find_in_line(line, enc)
     if spans or not JOINED.search(line):
@@ -184,12 +198,11 @@ def find_credentials(text: str | None, enc: Encoder) -> list[tuple[int, int, int
         counted = a
         if (m := BEGIN.search(text, a, b)) is not None:
             e = END.search(text, m.end())
-            stop = e.start() if e else min(len(text), m.end() + 8000)
-            body = text[m.end() : stop]
-            if not e:  # cut off: as far as lines look encoded
-                body = re.match(r"(?:(?:\\n|[\s\"'+,\\]|[A-Za-z0-9+/=_-]{20,}|[\w-]+: [^\n]*)+)?", body)[0]
+            body = text[m.end() : e.start()] if e else None
+            if body is None or not ENCODED.fullmatch(body):  # cut off: as far as lines look encoded
+                body = CUT_OFF.match(text, m.end())[0]
             dense = re.sub(r"\\n|[^A-Za-z0-9+/=]", "", body)
-            if len(dense) >= 24 and not MASKED.search(body) and len(set(dense)) > 8:
+            if len(dense) >= 24 and len(set(dense)) > 8 and chars_per_token(dense, enc) <= RANDOM_CHARS and not MASKED.search(body):
                 out.append((line_no, m.end(), m.end() + len(body)))
                 done = max(b, m.end() + len(body))
                 continue
