@@ -1,11 +1,14 @@
 import math
+import os
 import random
+import unicodedata
 from collections import defaultdict
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lodewell.llm import bpe
 from lodewell.llm import pieces as P
 from lodewell.llm import ranking as R
 
@@ -30,6 +33,39 @@ def test_cuts_stand_at_natural_places():
     assert P.cut("x" * 1000, 100, 20)[:2] == [(0, 400), (320, 720)]
 
 
+def test_overlap_is_kept_up_to_the_target():
+    text = "".join(f"word{i} " for i in range(300))
+    for overlap in (1, 40, 63, 64, 900):
+        parts = P.cut(text, 64, overlap)
+        assert all(c == b - 4 * min(overlap, 63) for (_, b), (c, _) in zip(parts, parts[1:])) and all(b - a <= 256 for a, b in parts)
+    marks = "x" + "e\u0301" * 300
+    assert all(not unicodedata.combining(marks[b]) for _, b in P.cut(marks, 20, 0)[:-1])
+    assert all(b % 2 == 0 for _, b in P.cut("\r\n" * 300, 21, 0)[:-1])
+
+
+@pytest.mark.skipif(not os.path.exists(bpe.vocabulary_path()), reason="no vocabulary")
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab .\n\t{}é😀表", max_size=600), st.integers(1, 40), st.integers(0, 50))
+def test_pieces_by_a_vocabulary(text, target, overlap):
+    make = P.by_vocabulary()
+    sums = make(text)
+    e = bpe.encoder(bpe.vocabulary_path())
+    assert sums.count(0, len(text)) == len(e.encode(text)) or any(ord(c) > 127 for c in text)
+    parts = P.cut(text, target, overlap, make)
+    assert parts[0][0] == 0 and parts[-1][1] == len(text) and all(sums.count(a, b) <= target or b - a <= 2 for a, b in parts)
+    assert all(a < c <= b < d for (a, b), (c, d) in zip(parts, parts[1:]))
+
+
+def test_split_by_a_vocabulary(spark):
+    if not os.path.exists(bpe.vocabulary_path()):
+        pytest.skip("no vocabulary")
+    items = spark.createDataFrame([(1, 7, "word " * 100), (2, 7, "short")], "id int, doc int, body string")
+    limits = spark.createDataFrame([(7, 50, 5)], "doc int, t int, o int")
+    rows = P.split_oversized(items, limits, "id", "body", "doc", "doc", "t", "o", make=P.by_vocabulary()).orderBy("piece").collect()
+    assert len(rows) == rows[0]["n_pieces"] == 3 and {r["id"] for r in rows} == {1} and all(r["tokens"] <= 50 for r in rows)
+    assert len(rows[0]["content"]) - rows[1]["start"] in range(20, 26)  # five words are shared
+
+
 def test_split_oversized(spark):
     items = spark.createDataFrame([(1, 7, "h", "word " * 100, "c"), (1, 7, "h", "word " * 100, "c"), (2, 7, None, "short", "c"), (3, 8, "h", None, "c"), (4, 9, "h", "y" * 400, "c"), (5, None, "h", "z" * 400, "c")], "id int, doc int, head string, body string, content string")
     limits = spark.createDataFrame([(7, 50, 5), (7, 50, 5), (8, 10, None), (None, 1, 1), (9, 100, -3)], "doc int, t int, o int")
