@@ -1,42 +1,48 @@
 """Most similar vectors for every vector: inverted lists scanned adaptively by column blocks.
 
-Vectors are normed, so cosine order is distance order. A k-means index is fitted on a bounded sample, every
-vector is put on its `copies` nearest lists, and a list is compared with itself: rotated vectors are read in
-column blocks, and a pair is abandoned as soon as its partial distance, scaled up to all dimensions, exceeds
-the bound of the current k-th best by more than a hypothesis test allows. What survives is computed exactly.
+Vectors are normed, so cosine order is distance order. A k-means index is fitted on a bounded sample of each group, every
+vector is put on its `copies` nearest lists, and a list is compared with itself: rotated vectors are read in column blocks,
+and a pair is abandoned as soon as its partial distance, scaled up to all dimensions, exceeds the bound of the current k-th
+best by more than a hypothesis test allows. What survives is computed exactly. A list that the sample says to be long is cut
+into blocks, and every two of them are a task of their own, so no task grows with the data.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodewell.functions.text import cosine
 from lodewell.operators.changes import latest_by
 from lodewell.sources.tables import table
 
-#: Vectors that the index is fitted on, at most, over all groups.
+#: Vectors that the index is fitted on over all groups: half are dealt evenly to the groups that need lists, half by their size.
 SAMPLE = 65_536
 #: Vectors a list should hold on average, and the most lists of a group.
 LIST_SIZE, MOST_LISTS = 400, 8_192
-#: Lists that hold each vector.
+#: Lists that hold each vector and that it is compared within.
 COPIES = 2
-#: Lists that a row looks into where only some rows ask.
-PROBES = 64
+#: Entries of a block of a long list, and numbers in them, at most as the sample tells.
+ENTRIES, NUMBERS = 16_384, 4_000_000
 #: Columns of a block, and the slack of the abandoning test: (1 + SLACK / sqrt(columns)) on the distance.
 BLOCK, SLACK = 16, 2.1
 #: Vectors compared at once within a list; bounds a task's memory at TILE x TILE numbers.
 TILE = 1_024
 #: Vectors whose nearest lists are sought at once.
 ASSIGNED = 512
-#: A vector with more exact copies than this, or than one in HOT_SHARE of all rows, is handled as a hot group.
-HOT, HOT_SHARE = 1_000, 1_000
+#: A direction (decimals of the normed vector that agree) that more than HOT vectors and more than one in HOT_SHARE have is hot:
+#: its vectors are answered by its first k + 1 and only these meet others in lists. Which are is told by the sample.
+HOT, HOT_SHARE, DECIMALS = 1_000, 1_000, 4
 
 
+@functools.lru_cache(maxsize=8)
 def rotation(d: int) -> np.ndarray:
     """The same random rotation of d dimensions everywhere."""
     q, r = np.linalg.qr(np.random.default_rng(d).standard_normal((d, d)))
@@ -114,6 +120,8 @@ def compare_list(ids: np.ndarray, e: list[np.ndarray], role: np.ndarray, k: int,
 
     Exact copies are compared once and then listed by smallest ids.
     """
+    if not (role & 2).any():
+        return pd.DataFrame({"a": ids[:0], "b": ids[:0], "cosine": np.empty(0)})
     x = unit(e)
     distinct, where = np.unique(x.view([("", x.dtype)] * x.shape[1]).ravel(), return_inverse=True)
     n = len(distinct)
@@ -156,83 +164,113 @@ def _usable(e: str, n: str) -> Column:
     )
 
 
+def _direction(e: str) -> Column:
+    """A hash of the normed vector to DECIMALS, so that scaled copies agree; computed only where hot directions were seen."""
+    norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+    return F.xxhash64(F.transform(e, lambda v: F.round(v.cast("double") / norm, DECIMALS) + F.lit(0.0)))
+
+
+@dataclass
+class Lists:
+    """The lists of one group: centroids, and the blocks that each list is cut into."""
+
+    centroids: np.ndarray
+    blocks: np.ndarray
+
+
+def fit(x: np.ndarray, n: int, copies: int, list_size: int) -> Lists:
+    """Lists for a group of n vectors from a sample of unit vectors x."""
+    lists = min(MOST_LISTS, max(1, len(x) // 8), max(1, math.ceil(n / list_size)))
+    c = kmeans(x, lists) if lists > 1 else x[:1]
+    r = min(copies, len(c))
+    held = np.zeros(len(c))
+    for b in np.array_split(x, max(1, len(x) // 4096)):
+        held += np.bincount(np.argpartition(-(b @ c.T), r - 1, axis=1)[:, :r].ravel(), minlength=len(c))
+    most = max(256, min(ENTRIES, NUMBERS // x.shape[1]))
+    return Lists(c, np.maximum(np.ceil(held * n / len(x) / most), 1).astype(np.int32))
+
+
 def similar_vectors(
-    rows: DataFrame, groups: list[str], key: str = "embedding_id", vector: str = "embedding", k: int = 10, floor: float = -1.0, copies: int = COPIES, basis: DataFrame | None = None, valid: Column | None = None, wanted: Column | None = None, probes: int = PROBES
+    rows: DataFrame, groups: list[str], key: str = "embedding_id", vector: str = "embedding", k: int = 10, floor: float = -1.0, copies: int = COPIES, list_size: int | None = None, basis: DataFrame | None = None, valid: Column | None = None, wanted: Column | None = None
 ) -> DataFrame:
     """(key_a, key_b, cosine, position): for each vector its k most similar of the same group.
 
     rows has one usable vector per key (see latest_usable); vectors of a group have one length. Only pairs
     with cosine >= floor are sought; a floor makes both the abandoning test and the lists sharper. Cosine is
     exact, rounded to 9 decimals; ties go to the smaller key; a vector is not its own neighbour, but its
-    exact copies are. basis, rows that include all of `rows` and cost less to read, serves for the sample (those
-    that meet `valid`) and for finding vectors with very many copies. wanted, a condition on key, asks for some rows'
-    neighbours only; those rows then look into their `probes` nearest lists. Recall depends on copies and list size and is measured in the tests. An empty input, or
+    copies are. A list holds list_size vectors on average. basis, rows that include all of `rows` and cost less to read, serves for the counts and the sample (of
+    those that meet `valid`). wanted, a condition on key, asks for some rows' neighbours only; all rows lie in the same lists
+    whoever asks. Recall depends on copies and list size and is measured in the tests. An empty input, or
     a group of one vector, gives no rows. Null group values form a group.
     """
-    spark = rows.sparkSession
-    shape = [F.col(key).alias("id"), F.col(vector).alias("e"), F.struct(*groups).alias("g")]
-    v, every = rows.select(*shape, (F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))).alias("w")), (rows if basis is None else basis).select(*shape)
-    # the bounded sample that the index is fitted on
-    n = every.count()
-    share = min(1.0, SAMPLE / max(n, 1))
-    picked = every if share == 1 else every.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = (picked if basis is None else picked.filter(valid)).limit(2 * SAMPLE).toPandas()
-    index: dict[tuple, np.ndarray] = {}
-    for g, s in sample.groupby(sample["g"].map(lambda r: tuple(r) if not isinstance(r, dict) else tuple(r.values()))):
-        x = unit(list(s["e"])).astype(np.float32)
-        lists = min(MOST_LISTS, max(1, len(x) // 8), max(1, math.ceil(len(x) / share / LIST_SIZE)))
-        index[g] = kmeans(x, lists) if lists > 1 else x[:1]
+    spark, list_size = rows.sparkSession, list_size or LIST_SIZE
+    every = rows if basis is None else basis
+    group = F.xxhash64(*[F.struct(F.col(g).isNull(), F.col(g)) for g in groups])
+    shape = [F.col(key).alias("id"), F.col(vector).alias("e"), group.alias("g")]
+    # groups of several lists; a group of fewer vectors is one list, and is not told of here
+    sizes = {r["g"]: r["count"] for r in every.groupBy(group.alias("g")).count().filter(F.col("count") > 2 * list_size).collect()}
+    total = sum(sizes.values())
+    index: dict[int, Lists] = {}
+    hot: set[tuple[int, int]] = set()
+    if sizes:
+        share = {g: min(1.0, SAMPLE * (0.5 / len(sizes) + 0.5 * n / total) / n) for g, n in sizes.items()}
+        marks = spark.createDataFrame([(g, int(math.ceil(s * 1_000_000))) for g, s in share.items()], "g bigint, s bigint")
+        picked = every.select(*shape, *([F.lit(True).alias("ok")] if valid is None else [valid.alias("ok")])).join(F.broadcast(marks), "g")
+        picked = picked.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("s")).filter("ok").select("g", "e")
+        sample = picked.limit(2 * SAMPLE).toPandas()
+        for g, part in sample.groupby("g"):
+            x = unit(list(part["e"]))
+            index[int(g)] = fit(x.astype(np.float32), sizes[g], copies, list_size)
+            cells, counts = np.unique(np.round(x, DECIMALS) + 0.0, axis=0, return_counts=True)
+            if (counts / share[g] > max(HOT, total / HOT_SHARE)).any():
+                hot.add(int(g))
     shared = spark.sparkContext.broadcast(index)  # at most SAMPLE / 8 centroids
 
+    v = rows.select(*shape, (F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))).alias("w"))
+    extra = None
+    if hot:
+        v = v.withColumn("h", F.when(F.col("g").isin(sorted(hot)), _direction("e")))
+        counts = v.filter("h is not null").groupBy("g", "h").count().filter(F.col("count") > max(HOT, total // HOT_SHARE)).select("g", "h")
+        counts = spark.createDataFrame(counts.collect(), "g bigint, h bigint")  # at most HOT_SHARE rows
+        warm = v.join(F.broadcast(counts), ["g", "h"], "left_semi")
+        cold = v.join(F.broadcast(counts), ["g", "h"], "left_anti")
+        first = warm.withColumn("r", F.row_number().over(Window.partitionBy("g", "h").orderBy("id"))).filter(F.col("r") <= k + 1)
+        lead = first.groupBy("g", "h").agg(F.collect_list(F.struct("id", "e")).alias("leads"))  # k + 1 vectors each
+        rest = warm.filter("w").join(F.broadcast(lead), ["g", "h"]).select(F.col("id").alias("a"), "e", F.explode("leads").alias("b"))
+        extra = rest.select("a", F.col("b.id").alias("b"), F.round(cosine(F.col("e"), F.col("b.e")), 9).alias("cosine")).filter((F.col("a") != F.col("b")) & (F.col("cosine") >= floor))
+        v = cold.select("id", "e", "g", "w").unionByName(first.select("id", "e", "g", "w"))
+
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lists = shared.value
         for f in frames:
-            names = f["g"].map(lambda r: tuple(r.values()) if isinstance(r, dict) else tuple(r))
-            for g, s in f.groupby(names, sort=False):
-                c, body = lists.get(g), np.array([np.asarray(e, np.float32).tobytes() for e in s["e"]], object)
-                key, ask = s["id"].to_numpy(), s["w"].to_numpy(bool)
-                if c is None or len(c) == 1:
-                    yield pd.DataFrame({"l": [f"{g!r}/0"] * len(s), "id": key, "e": body, "role": (1 + 2 * ask).astype(np.int32)})
+            for g, s in f.groupby("g", sort=False):
+                known, body = lists.get(int(g)), np.array([np.asarray(e, np.float32).tobytes() for e in s["e"]], object)
+                key, role = s["id"].to_numpy(), (1 + 2 * s["w"].to_numpy(bool)).astype(np.int32)
+                if known is None:
+                    yield pd.DataFrame({"g": g, "l": 0, "t": 0, "id": key, "e": body, "role": role})
                     continue
-                x = unit(list(s["e"])).astype(np.float32)
-                r = min(copies, len(c))
+                c, blocks = known.centroids, known.blocks
+                x, r = unit(list(s["e"])).astype(np.float32), min(copies, len(c))
+                mine = _mixed(pd.util.hash_array(key) if key.dtype == object else key)
                 # few rows at once: with all centroids, a whole batch would not fit beside the other workers
                 for lo in range(0, len(x), ASSIGNED):
-                    far = -(x[lo : lo + ASSIGNED] @ c.T)
-                    near = np.argpartition(far, r - 1, axis=1)[:, :r]
-                    part, a = body[lo : lo + ASSIGNED], ask[lo : lo + ASSIGNED]
+                    part = slice(lo, lo + ASSIGNED)
+                    near = np.argpartition(-(x[part] @ c.T), r - 1, axis=1)[:, :r].astype(np.int32)
+                    n = blocks[near]
                     for j in range(r):
-                        yield pd.DataFrame({"l": [f"{g!r}/{m}" for m in near[:, j]], "id": key[lo : lo + ASSIGNED], "e": part, "role": (1 + 2 * a).astype(np.int32)})
-                    more = min(probes, len(c))
-                    if not ask.all() and more > r and a.any():
-                        np.put_along_axis(far, near, -np.inf, axis=1)
-                        wide = np.argpartition(far[a], more - 1, axis=1)[:, :more]
-                        keep = ~(wide[:, :, None] == near[a][:, None, :]).any(2)
-                        q, m = np.nonzero(keep)
-                        yield pd.DataFrame({"l": [f"{g!r}/{v}" for v in wide[q, m]], "id": key[lo : lo + ASSIGNED][a][q], "e": part[a][q], "role": np.full(len(q), 2, np.int32)})
+                        at, l, m = np.arange(lo, lo + len(near)), near[:, j], n[:, j]
+                        one = m == 1
+                        yield pd.DataFrame({"g": g, "l": l[one], "t": 0, "id": key[at[one]], "e": body[at[one]], "role": role[at[one]]})
+                        for size in np.unique(m[~one]):
+                            big = at[m == size]
+                            yield _blocks(g, l[m == size], key[big], body[big], role[big], (mine[big] % np.uint64(size)).astype(np.int32), int(size))
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         return compare_list(f["id"].to_numpy(), [np.frombuffer(e, np.float32) for e in f["e"]], f["role"].to_numpy(), k, floor)
 
-    # vectors with very many exact copies: only the first k + 1 go to the lists, the rest are answered by those
-    print_of = F.struct(F.col("g"), F.xxhash64("e").alias("h1"), F.hash("e").alias("h2"))
-    many = max(HOT, n // HOT_SHARE)
-    hot = [r["p"] for r in every.groupBy(print_of.alias("p")).count().filter(F.col("count") > many).select("p").collect()]  # at most HOT_SHARE rows
-    extra = None
-    if hot:
-        marks = spark.createDataFrame([(r["h1"], r["h2"]) for r in hot], "h1 long, h2 int").distinct()
-        v = v.withColumn("h1", F.xxhash64("e")).withColumn("h2", F.hash("e"))
-        warm = v.join(F.broadcast(marks), ["h1", "h2"], "left_semi")
-        cold = v.join(F.broadcast(marks), ["h1", "h2"], "left_anti")
-        first = warm.withColumn("r", F.row_number().over(Window.partitionBy("g", "h1", "h2").orderBy("id"))).filter(F.col("r") <= k + 1)
-        lead = first.groupBy("g", "h1", "h2").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # k + 1 ids each
-        rest = warm.join(F.broadcast(lead), ["g", "h1", "h2"])
-        extra = rest.filter("w").select(F.col("id").alias("a"), F.explode("ids").alias("b"), F.lit(1.0).alias("cosine")).filter("a <> b")
-        v = cold.select("id", "e", "g", "w").unionByName(first.select("id", "e", "g", "w"))
-
     kind = v.schema["id"].dataType.simpleString()
-    listed = v.mapInPandas(assign, f"l string, id {kind}, e binary, role int")
-    pairs = listed.groupBy("l").applyInPandas(compare, f"a {kind}, b {kind}, cosine double")
+    listed = v.mapInPandas(assign, f"g bigint, l int, t int, id {kind}, e binary, role int")
+    pairs = listed.groupBy("g", "l", "t").applyInPandas(compare, f"a {kind}, b {kind}, cosine double")
     if extra is not None:
         pairs = pairs.unionByName(extra)
     pairs = pairs.repartition("a").dropDuplicates(["a", "b"])  # one shuffle serves this and the window
@@ -241,8 +279,20 @@ def similar_vectors(
     return top.select(F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b"), "cosine", "position")
 
 
-#: Whether a row of chunk_embeddings has a usable vector; on aliased columns e and g.
-VALID = ("e", "g.dimensions")
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    h = keys.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(31))
+
+
+def _blocks(g: int, l: np.ndarray, key: np.ndarray, body: np.ndarray, role: np.ndarray, mine: np.ndarray, size: int) -> pd.DataFrame:
+    """Entries of lists of size blocks: where they stand, in their block against all; where they ask, against every block."""
+    stand = np.repeat(np.arange(len(key)), size)
+    other = np.tile(np.arange(size, dtype=np.int32), len(key))
+    t, r = other * size + mine[stand], np.where((other == mine[stand]) & (role[stand] == 3), 3, 1)
+    asks = np.flatnonzero(role[stand] == 3)
+    asks = asks[other[asks] != mine[stand[asks]]]
+    at = np.concatenate([stand, stand[asks]])
+    return pd.DataFrame({"g": g, "l": l[at], "t": np.concatenate([t, mine[stand[asks]] * size + other[asks]]), "id": key[at], "e": body[at], "role": np.concatenate([r, np.full(len(asks), 2)]).astype(np.int32)})
 
 
 def latest_usable(rows: DataFrame) -> DataFrame:
@@ -259,15 +309,19 @@ def latest_usable(rows: DataFrame) -> DataFrame:
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of vectors at cosine 0.9 or more of which one is among the other's ten most similar."""
     rows = table(spark, sf_dir, "chunk_embeddings")
-    near = similar_vectors(latest_usable(rows), ["provider", "model", "dimensions"], k=10, floor=0.9, basis=rows, valid=_usable(*VALID))
+    near = similar_vectors(latest_usable(rows), ["provider", "model", "dimensions"], k=10, floor=0.9, basis=rows, valid=_usable("embedding", "dimensions"))
     a, b = F.col("embedding_id_a"), F.col("embedding_id_b")
     return near.select(F.least(a, b).alias("embedding_id_a"), F.greatest(a, b).alias("embedding_id_b")).distinct()
 
 
+#: Lists of each vector, and vectors of a list, where no floor sharpens them.
+OPEN_COPIES, OPEN_SIZE = 4, 2_000
+
+
 def p1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar of all vectors for every vector whose id is divisible by 50."""
     rows = table(spark, sf_dir, "chunk_embeddings")
-    near = similar_vectors(latest_usable(rows), ["provider", "model", "dimensions"], k=10, basis=rows, valid=_usable(*VALID), wanted=F.col("embedding_id") % 50 == 0)
+    near = similar_vectors(latest_usable(rows), ["provider", "model", "dimensions"], k=10, copies=OPEN_COPIES, list_size=OPEN_SIZE, basis=rows, valid=_usable("embedding", "dimensions"), wanted=F.col("embedding_id") % 50 == 0)
     return near.select("embedding_id_a", "embedding_id_b", "cosine", "position")
 
 

@@ -56,7 +56,7 @@ def test_copies_and_hot_groups(spark, monkeypatch):
     want = brute(ids, x.astype(float), 3, 0.9)
     assert pairs(N.similar_vectors(frame(spark, ids, x), GROUPS, k=3, floor=0.9)) == want
     monkeypatch.setattr(N, "HOT", 5)
-    monkeypatch.setattr(N, "HOT_SHARE", 1000)
+    monkeypatch.setattr(N, "LIST_SIZE", 20)
     assert pairs(N.similar_vectors(frame(spark, ids, x), GROUPS, k=3, floor=0.9)) == want
 
 
@@ -87,6 +87,36 @@ def test_some_rows_ask(spark, monkeypatch):
     monkeypatch.setattr(N, "LIST_SIZE", 40)
     x, ids = clusters(600, d=16, seed=9), np.arange(600)
     x[100:110] = x[100]
-    want = {p for p in brute(ids, x.astype(float), 5, -1.0) if p[0] % 10 == 0}
-    got = pairs(N.similar_vectors(frame(spark, ids, x), GROUPS, k=5, wanted=F.col("embedding_id") % 10 == 0, probes=12))
-    assert all(a % 10 == 0 for a, _ in got) and len(got & want) / len(want) >= 0.9
+    df = frame(spark, ids, x)
+    every = pairs(N.similar_vectors(df, GROUPS, k=5, copies=4))
+    got = pairs(N.similar_vectors(df, GROUPS, k=5, copies=4, wanted=F.col("embedding_id") % 10 == 0))
+    assert got == {p for p in every if p[0] % 10 == 0}  # whoever asks, the lists are the same
+    want = {p for p in brute(ids, x.astype(float), 5, -1.0)}
+    assert len(every & want) / len(want) >= 0.9
+
+
+def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
+    x, ids = clusters(700, d=16, seed=11), np.arange(700) * 3
+    x[::7] = x[0]  # copies lie in several blocks
+    monkeypatch.setattr(N, "LIST_SIZE", 200)
+    monkeypatch.setattr(N, "MOST_LISTS", 1)
+    monkeypatch.setattr(N, "ENTRIES", 300)
+    assert (N.fit(x / np.linalg.norm(x, axis=1, keepdims=True), 700, 2, 200).blocks == 3).all()
+    want = brute(ids, x.astype(float), 4, 0.5)
+    got = pairs(N.similar_vectors(frame(spark, ids, x), GROUPS, k=4, floor=0.5))
+    assert len(want & got) / len(want) >= 0.99 and len(got) == len(want)
+
+
+def test_scaled_copies_are_hot(spark, monkeypatch):
+    x = clusters(900, seed=5).astype(np.float64)
+    x[:500] = x[0] * np.random.default_rng(0).uniform(0.5, 9, 500)[:, None]
+    monkeypatch.setattr(N, "HOT", 100)
+    monkeypatch.setattr(N, "LIST_SIZE", 100)
+    seen = []
+    direction = N._direction
+    monkeypatch.setattr(N, "_direction", lambda e: seen.append(e) or direction(e))
+    got = N.similar_vectors(frame(spark, np.arange(900), x.astype(np.float32)), GROUPS, k=3, floor=0.9).collect()
+    near = {}
+    for r in got:
+        near.setdefault(r["embedding_id_a"], []).append((r["embedding_id_b"], r["cosine"]))
+    assert seen and all(len(near[i]) == 3 and all(b < 500 and c > 0.99999 for b, c in near[i]) for i in range(500))
