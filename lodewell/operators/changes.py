@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodewell.session import publish_once
+
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row of each key: the first by `order`.
@@ -62,12 +64,17 @@ def changed_records(
 class StateStore:
     """Versions of (record_key, content_hash) under `root`, the current one named by a pointer file.
 
-    Any Hadoop file system works. commit() writes version n+1 completely, then renames a fresh pointer
-    into place; a run that dies before the rename leaves version n current and its leftovers unread.
-    Two runs that start from the same version cannot both commit: pointers are numbered and never
-    overwritten, so the second rename finds its number taken and raises.
+    A version is a list of folders: a base and the deltas of later runs, so a commit writes only what its run processed; every
+    COMPACT-th commit writes the whole anew. commit() writes its folder completely, then publishes a numbered pointer that names
+    the folders; a run that dies before leaves the last version current and its leftovers unread. Pointers are never
+    overwritten (see publish_once for the file systems on which that holds): of two runs that start from the same version
+    the second finds its number taken and raises, and starts again from what the first committed.
     """
 
+    #: Folders of a version at most.
+    COMPACT = 8
+    SCHEMA = "record_key string, content_hash string, seq int"
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
@@ -81,47 +88,65 @@ class StateStore:
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
         return max([int(n) for n in names if n.isdigit()], default=0)
 
-    def _target(self, version: int) -> str:
+    def folders(self, version: int) -> list[str]:
+        """The folders of a version, oldest first."""
+        if not version:
+            return []
         s = self._fs.open(self._path(f"{self.root}/pointers/{version:012d}"))
         try:
-            return s.readUTF()
+            return s.readUTF().split()
         finally:
             s.close()
 
-    def read(self) -> DataFrame:
-        """The committed state; an empty frame before the first commit."""
-        v = self.version()
-        if not v:
-            return self.spark.createDataFrame([], "record_key string, content_hash string")
-        return self.spark.read.parquet(f"{self.root}/{self._target(v)}")
+    def read(self, version: int | None = None) -> DataFrame:
+        """The committed state: of each key the hashes of the last run that processed it; an empty frame before the first commit."""
+        names = self.folders(self.version() if version is None else version)
+        if not names:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        rows = self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.root}/{n}" for n in names])
+        if len(names) == 1:
+            return rows
+        last = Window.partitionBy("record_key").orderBy(F.desc("seq"))
+        return rows.withColumn("__r", F.rank().over(last)).filter("__r = 1").drop("__r")
 
     def select(self, current: DataFrame, key: str, hash_col: str) -> DataFrame:
-        """Rows of current that the committed state does not cover."""
-        c = current.withColumn("__k", F.col(key).cast("string"))
-        return changed_records(c, self.read(), "__k", hash_col, "record_key", "content_hash").drop("__k")
+        """Rows of current that the committed state does not cover, with `change` = 'new' or 'changed'.
+
+        A key that comes with several hashes is covered by each that was committed with it. Rows with a null hash are left out;
+        repeated rows come out once per key and hash.
+        """
+        state = self.read().groupBy(F.col("record_key").alias("__key")).agg(F.collect_set("content_hash").alias("__hashes"))
+        j = current.filter(F.col(hash_col).isNotNull()).join(state, F.col(key).cast("string") == F.col("__key"), "left")
+        covered = F.coalesce(F.array_contains("__hashes", F.lower(hash_col)), F.lit(False))
+        change = F.when(F.col("__key").isNull(), "new").otherwise("changed")
+        return j.filter(~covered).withColumn("change", change).drop("__key", "__hashes").dropDuplicates([key, hash_col])
 
     def commit(self, done: DataFrame, key: str, hash_col: str, base: int | None = None) -> int:
         """Adds the processed rows to the state and makes the result current; returns its version.
 
-        base is the version the run started from (the current one if None). Rows with a null key or hash
-        are not remembered. If a key comes twice, its greatest hash is kept, so a retry writes the same.
+        base is the version the run started from (the current one if None). Rows with a null key or hash are not remembered.
         """
         base = self.version() if base is None else base
-        new = (
-            done.select(F.col(key).cast("string").alias("record_key"), F.lower(hash_col).alias("content_hash"))
-            .dropna()
-            .groupBy("record_key")
-            .agg(F.max("content_hash").alias("content_hash"))
-        )
-        kept = self.read().join(new.select("record_key"), "record_key", "left_anti")
+        new = done.select(F.col(key).cast("string").alias("record_key"), F.lower(hash_col).alias("content_hash"), F.lit(base + 1).alias("seq")).dropna().distinct()
+        names = self.folders(base)
         name = f"state-{base + 1:012d}-{uuid.uuid4().hex}"
-        kept.unionByName(new).write.parquet(f"{self.root}/{name}")
-        draft = self._path(f"{self.root}/drafts/{name}")
-        out = self._fs.create(draft, True)
-        out.writeUTF(name)
+        if len(names) + 1 > self.COMPACT:
+            new = self.read(base).join(new.select("record_key").distinct(), "record_key", "left_anti").unionByName(new)
+            names = []
+        new.write.parquet(f"{self.root}/{name}")
+        draft = f"{self.root}/drafts/{name}"
+        out = self._fs.create(self._path(draft), True)
+        out.writeUTF(" ".join([*names, name]))
         out.close()
-        final = self._path(f"{self.root}/pointers/{base + 1:012d}")
-        self._fs.mkdirs(final.getParent())
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
+        if not publish_once(self.spark, draft, f"{self.root}/pointers/{base + 1:012d}"):
             raise RuntimeError(f"version {base + 1} was committed by another run")
         return base + 1
+
+    def vacuum(self) -> list[str]:
+        """Removes folders that the current version does not need; call it while no run reads or commits."""
+        kept = set(self.folders(self.version()))
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
+        gone = [n for n in names if n.startswith("state-") and n not in kept]
+        for n in gone:
+            self._fs.delete(self._path(f"{self.root}/{n}"), True)
+        return gone

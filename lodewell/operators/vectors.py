@@ -27,6 +27,16 @@ def has_embeddings(embeddings: DataFrame, provider: str, model: str) -> bool:
     return not embeddings.filter((F.col("provider") == provider) & (F.col("model") == model)).select(F.lit(1)).limit(1).isEmpty()
 
 
+def active_model(embeddings: DataFrame, provider: str, base: str) -> str:
+    """The stored name, version suffix included, that the newest vector of a provider's model bears; the base itself if there is none.
+
+    Vectors under another suffix were made for another form of input and do not count.
+    """
+    mine = embeddings.filter((F.col("provider") == provider) & (F.split_part("model", F.lit(":"), F.lit(1)) == base))
+    name = mine.agg(F.max_by("model", F.struct("created_at", "model"))).first()[0]  # one row
+    return base if name is None else name
+
+
 def rank(candidates: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """(query_id, chunk_id, path, score, rank) of candidates (chunk_id, path, model, embedding) for queries (query_id, model, embedding).
 

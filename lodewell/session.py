@@ -29,11 +29,13 @@ def make_session(cpus: int | str = "*", memory: str = "8g", app: str = "lodewell
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir that all executors share.
 
-    Only where the session names none (tests, one machine) a local folder is set.
+    Only where the session names none and runs on one machine (tests) a local folder is set; on a cluster that is an error.
     """
     jsc = spark.sparkContext._jsc.sc()
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if jsc.getCheckpointDir().isEmpty():
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lodewell-checkpoints"))
     return named or jsc.getCheckpointDir().get()
 
@@ -44,6 +46,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def publish_once(spark: SparkSession, draft: str, final: str) -> bool:
+    """Gives the finished file draft the name final, once: False if another run has taken that name.
+
+    On a local disk a hard link does it, elsewhere a rename that refuses an existing target. Both are one atomic step on local
+    disks and on HDFS. Object stores on which a rename is a copy give no such promise: keep pointers on one of the former.
+    """
+    jvm, path = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path
+    a, b = path(draft), path(final)
+    fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(b.getParent())
+    if fs.getUri().getScheme() == "file":
+        try:
+            os.link(a.toUri().getPath(), b.toUri().getPath())
+        except FileExistsError:
+            return False
+        finally:
+            fs.delete(a, False)
+        return True
+    kind = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    none = jvm.java.lang.reflect.Array.newInstance(kind, 1)
+    none[0] = kind.getEnumConstants()[0]
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(a, b, none)
+    except Exception:
+        if not fs.exists(b):
+            raise
+        return False
+    return True
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where a few small files would keep Python work on fewer.
 

@@ -45,6 +45,52 @@ def test_state_store_survives_a_failed_run(spark, tmp_path):
         s.commit(more, "id", "h", base=1)
 
 
+def test_state_is_kept_in_deltas(spark, tmp_path):
+    s = StateStore(spark, str(tmp_path / "state"))
+    for i in range(12):
+        s.commit(spark.createDataFrame([(i, f"h{i}"), (100, f"v{i}")], "id int, h string"), "id", "h")
+        assert len(s.folders(s.version())) <= s.COMPACT
+    now = {(r["record_key"], r["content_hash"]) for r in s.read().collect()}
+    assert now == {(str(i), f"h{i}") for i in range(12)} | {("100", "v11")}
+    assert s.vacuum() and {(r["record_key"], r["content_hash"]) for r in s.read().collect()} == now
+    two = spark.createDataFrame([(7, "a"), (7, "B"), (7, None), (None, "x")], "id int, h string")
+    s.commit(two, "id", "h")  # a key of two contents is covered by both
+    assert s.select(two.filter("id is not null"), "id", "h").count() == 0
+
+
+def test_of_two_racing_commits_one_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    s = StateStore(spark, str(tmp_path / "state"))
+    s.commit(spark.createDataFrame([(0, "a")], "id int, h string"), "id", "h")
+
+    def run(i):
+        try:
+            return StateStore(spark, s.root).commit(spark.createDataFrame([(i, "x")], "id int, h string"), "id", "h", base=1)
+        except RuntimeError:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        won = list(pool.map(run, range(1, 5)))
+    assert sorted(w for w in won if w) == [2] and s.read().count() == 2
+
+
+def test_a_crash_before_the_swap_changes_nothing(spark, tmp_path, monkeypatch):
+    from lodewell.operators import changes
+
+    s = StateStore(spark, str(tmp_path / "state"))
+    rows = spark.createDataFrame([(1, "a")], "id int, h string")
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(changes, "publish_once", dies)
+        s.commit(rows, "id", "h")
+    assert s.version() == 0 and s.select(rows, "id", "h").count() == 1
+    assert s.commit(rows, "id", "h") == 1 and s.select(rows, "id", "h").count() == 0
+
+
 def test_diff_classes(spark):
     old = spark.createDataFrame([("a", "h", 1, 1), ("b", "h", 1, 1), ("c", "h", 1, 1), ("d", "h", 1, 1)], "path string, content_hash string, size_bytes long, mtime_ms long")
     new = spark.createDataFrame([("a", "h", 1, 1), ("b", "H", 1, 2), ("c", "x", 2, 2), ("e", "h", 1, 1)], old.schema)
