@@ -54,11 +54,16 @@ def bound(chunks: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> Da
 
 
 def line_blocks(docs: DataFrame, lines: int = LINES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, chunk_index, start_line, end_line, content): blocks of so many lines, trimmed; blank ones are left out."""
+    """(key, chunk_index, start_line, end_line, content): blocks of so many lines, trimmed; blank ones are left out.
+
+    The lines are cut into blocks before they are exploded, so no block carries the whole text.
+    """
     parts = F.split(text, "\n")
-    d = docs.filter(F.length(text) > 0).select(key, parts.alias("__l"), F.explode(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / lines).cast("int"))).alias("chunk_index"))
-    body = F.array_join(F.slice("__l", F.col("chunk_index") * lines + 1, F.lit(lines)), "\n")
-    d = d.select(key, "chunk_index", (F.col("chunk_index") * lines + 1).alias("start_line"), F.least((F.col("chunk_index") + 1) * lines, F.size("__l")).alias("end_line"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("content"))
+    d = docs.filter(F.length(text) > 0).select(key, parts.alias("__l"))
+    starts = F.sequence(F.lit(0), F.floor((F.size("__l") - 1) / lines).cast("int"))
+    blocks = F.transform(starts, lambda i: F.array_join(F.slice("__l", i * lines + 1, F.lit(lines)), "\n"))
+    d = d.select(key, F.size("__l").alias("__n"), F.posexplode(blocks).alias("chunk_index", "__b"))
+    d = d.select(key, "chunk_index", (F.col("chunk_index") * lines + 1).alias("start_line"), F.least((F.col("chunk_index") + 1) * lines, F.col("__n")).alias("end_line"), F.regexp_replace("__b", r"^\s+|\s+$", "").alias("content"))
     return d.filter("content <> ''")
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewell.operators.changes import latest_by
+from lodewell.session import publish_once
 
 
 def diff(stored: DataFrame, scanned: DataFrame, key: str = "path") -> DataFrame:
@@ -98,7 +100,11 @@ class Settings:
 
 
 class Snapshots:
-    """Whole tables by epoch behind numbered pointers: a snapshot of an older epoch than the published is refused."""
+    """Tables by epoch behind numbered pointers; a pointer names the folder of each table and is never overwritten.
+
+    Every attempt writes to a folder of its own, so readers of the published epoch are not disturbed and a crash leaves it as it
+    was. An epoch that is not newer than the published is refused, also when two attempts race (see publish_once).
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -110,22 +116,63 @@ class Snapshots:
         f = self._path(f"{self.root}/published")
         return max((int(s.getPath().getName()) for s in self._fs.listStatus(f)), default=-1) if self._fs.exists(f) else -1
 
-    def publish(self, tables: dict[str, DataFrame], epoch: int) -> None:
-        """Writes all tables, then makes them current in one rename."""
+    def tables(self) -> dict[str, str]:
+        """Folders below root of the published tables by name."""
+        if (e := self.epoch()) < 0:
+            return {}
+        s = self._fs.open(self._path(f"{self.root}/published/{e}"))
+        try:
+            return json.loads(s.readUTF())
+        finally:
+            s.close()
+
+    def begin(self, epoch: int | None = None) -> Draft:
+        """A draft of an epoch, the next one if none is given."""
+        epoch = self.epoch() + 1 if epoch is None else epoch
         if not isinstance(epoch, int) or isinstance(epoch, bool):
             raise ValueError("epoch is not a whole number")
-        if self.epoch() > epoch:
-            raise RuntimeError(f"epoch {epoch} is older than {self.epoch()}")
+        if self.epoch() >= epoch:
+            raise RuntimeError(f"epoch {epoch} is not newer than {self.epoch()}")
+        return Draft(self, epoch)
+
+    def publish(self, tables: dict[str, DataFrame], epoch: int) -> None:
+        """Writes all tables and makes them current together."""
+        draft = self.begin(epoch)
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/epoch={epoch}/{name}")
-        draft, final = self._path(f"{self.root}/draft-{epoch}"), self._path(f"{self.root}/published/{epoch}")
-        self._fs.create(draft, True).close()
-        self._fs.mkdirs(final.getParent())
-        if not self._fs.exists(final):
-            self._fs.rename(draft, final)
+            draft.write(name, df)
+        draft.commit()
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/epoch={self.epoch()}/{name}")
+        return self.spark.read.parquet(f"{self.root}/{self.tables()[name]}")
+
+
+class Draft:
+    """Tables of an epoch that is not published yet; what is written can be read at once, so it is made only once."""
+
+    def __init__(self, snapshots: Snapshots, epoch: int):
+        self.of, self.epoch, self.folder, self.tables = snapshots, epoch, f"epoch-{epoch}-{uuid.uuid4().hex}", {}
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.of.root}/{self.folder}/{name}")
+        return self.add(name, f"{self.folder}/{name}")
+
+    def stage(self, name: str, df: DataFrame) -> DataFrame:
+        """Writes what the tables are made from; it is not published."""
+        df.write.parquet(f"{self.of.root}/{self.folder}/staged/{name}")
+        return self.of.spark.read.parquet(f"{self.of.root}/{self.folder}/staged/{name}")
+
+    def add(self, name: str, folder: str) -> DataFrame:
+        """Takes a table as it lies in folder, below root; one of an older epoch is carried on so."""
+        self.tables[name] = folder
+        return self.of.spark.read.parquet(f"{self.of.root}/{folder}")
+
+    def commit(self) -> None:
+        draft = f"{self.of.root}/drafts/{self.folder}"
+        out = self.of._fs.create(self.of._path(draft), True)
+        out.writeUTF(json.dumps(self.tables))
+        out.close()
+        if not publish_once(self.of.spark, draft, f"{self.of.root}/published/{self.epoch}"):
+            raise RuntimeError(f"epoch {self.epoch} was published by another run")
 
 
 def claim(leases: DataFrame, claims: DataFrame) -> DataFrame:

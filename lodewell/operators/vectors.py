@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodewell.functions.languages import is_boosted
-from lodewell.functions.text import cosine
 from lodewell.operators.changes import latest_by
 
 #: Least score, tested after the bonus, and the bonus of code files; rows of an embedding batch.
@@ -37,17 +36,71 @@ def active_model(embeddings: DataFrame, provider: str, base: str) -> str:
     return base if name is None else name
 
 
+#: Queries that are compared at once; more are taken block by block, each against all candidates.
+AT_ONCE = 2_000
+
+
+def compared(candidates: DataFrame, queries: DataFrame, keep: Callable[[pd.DataFrame], pd.DataFrame] | None, least: float, bonus: bool) -> DataFrame:
+    """(query_id, chunk_id, path, score) of candidates (chunk_id, path, model, embedding) against queries (query_id, model, embedding).
+
+    Score is the cosine, plus BONUS for code where asked; those below least are left out. Candidates stay where they are read; a
+    block of AT_ONCE queries is broadcast to them. keep cuts what a task has found so far, whenever it has grown.
+    """
+    spark = candidates.sparkSession
+    q = queries.select("query_id", "model", "embedding").filter("embedding is not null")
+    blocks = max(1, -(-q.count() // AT_ONCE))
+    kinds = f"query_id {q.schema['query_id'].dataType.simpleString()}, chunk_id {candidates.schema['chunk_id'].dataType.simpleString()}, path string, score double"
+    rows = candidates.select("chunk_id", "path", "model", "embedding", (F.when(is_boosted(F.col("path")), BONUS) if bonus else F.lit(0.0)).alias("more")).fillna(0.0, ["more"])
+    out = None
+    for i in range(blocks):
+        part = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas()
+        asked = {}
+        for m, g in part.groupby("model", dropna=False):
+            for d, h in g.groupby(g["embedding"].map(len)):
+                e = np.stack(list(h["embedding"])).astype(np.float64)
+                norm = np.linalg.norm(e, axis=1, keepdims=True)
+                asked[m, d] = h["query_id"].to_numpy(), e / np.where(norm > 0, norm, np.inf)
+        shared = spark.sparkContext.broadcast(asked)  # AT_ONCE vectors on average
+
+        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            held, size = [], 0
+            for f in frames:
+                for (m, d), g in f.groupby(["model", f["embedding"].map(lambda e: -1 if e is None else len(e))], dropna=False, sort=False):
+                    if (m, d) not in shared.value:
+                        continue
+                    ids, e = shared.value[m, d]
+                    x = np.stack(list(g["embedding"])).astype(np.float64)
+                    norm = np.linalg.norm(x, axis=1, keepdims=True)
+                    s = np.round(x / np.where(norm > 0, norm, np.inf) @ e.T + g["more"].to_numpy()[:, None], 9)
+                    i, j = np.nonzero(s >= least)
+                    held.append(pd.DataFrame({"query_id": ids[j], "chunk_id": g["chunk_id"].to_numpy()[i], "path": g["path"].to_numpy()[i], "score": s[i, j]}))
+                    size += len(i)
+                if size > 200_000:
+                    mine, held = pd.concat(held), []
+                    if keep is None:
+                        yield mine
+                        size = 0
+                    else:
+                        held, size = [keep(mine)], 0
+            if held:
+                yield keep(pd.concat(held)) if keep else pd.concat(held)
+
+        found = rows.mapInPandas(run, kinds)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def rank(candidates: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """(query_id, chunk_id, path, score, rank) of candidates (chunk_id, path, model, embedding) for queries (query_id, model, embedding).
+    """(query_id, chunk_id, path, score, rank): the limit best paths of each query, each by its best chunk; see compared.
 
-    Score is the cosine plus BONUS for code; LEAST is asked of the sum; the best chunk of each path counts. Queries
-    are few and are broadcast if Spark finds them small; candidates stream past them. Ties go to the smaller chunk_id.
+    LEAST is asked of the score with its bonus. Ties go to the smaller chunk_id. A task hands on at most limit rows a query.
     """
-    q = queries.select("query_id", "model", F.col("embedding").alias("qe"))
-    s = candidates.join(q, "model").filter(F.size("embedding") == F.size("qe"))
-    s = s.withColumn("score", F.round(cosine(F.col("embedding"), F.col("qe")) + F.when(is_boosted(F.col("path")), BONUS).otherwise(0.0), 9))
-    s = s.filter(F.col("score") >= LEAST).select("query_id", "chunk_id", "path", "score")
-    best = latest_by(s, ["query_id", "path"], [F.desc("score"), F.asc("chunk_id")])
+
+    def keep(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True], kind="stable").drop_duplicates(["query_id", "path"])
+        return f[f.groupby("query_id").cumcount() < limit]
+
+    best = latest_by(compared(candidates, queries, keep, LEAST, True), ["query_id", "path"], [F.desc("score"), F.asc("chunk_id")])
     top = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
     return top.filter(F.col("rank") <= limit)
 

@@ -51,12 +51,32 @@ def any_of(globs: list[str]) -> str:
 
 
 def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, ignore_file: str | None = None, content: bool = False) -> DataFrame:
-    """(path, absolute_path, kind, language, size_bytes, mtime_ms[, text]) of the files under root, by path.
+    """(path, absolute_path, kind, language, size_bytes, mtime_ms[, text]) of the files under root, in no order.
 
     Without include, files of known extensions; hidden files and folders, EXCLUDED, the ignore file's and the user's patterns
     are left out. Contents are only read if asked for, after the filters.
     """
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return _listed(spark, root, root, include, exclude, ignore_file, content)
+
+
+#: Changed files up to which exactly these are opened; of more, all are read and the others dropped.
+OPENED = 10_000
+
+
+def read(spark: SparkSession, root: str, wanted: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, ignore_file: str | None = None) -> DataFrame:
+    """scan with text of the files in wanted (path, absolute_path) only."""
+    few = [r["absolute_path"] for r in wanted.select("absolute_path").limit(OPENED + 1).collect()]
+    if not few:
+        return _listed(spark, root, root, include, exclude, ignore_file, True).filter("false")
+    if len(few) > OPENED:
+        return _listed(spark, root, root, include, exclude, ignore_file, True).join(wanted.select("path"), "path", "left_semi")
+    scheme = root.split(":", 1)[0] + ":" if re.match(r"[a-z][a-z0-9+.-]*://", root) else ""
+    globbed = [scheme + re.sub(r"([*?{}\[\]\\])", r"\\\1", p) if not scheme else p for p in few]
+    return _listed(spark, root, globbed, include, exclude, ignore_file, True)
+
+
+def _listed(spark, root, load, include, exclude, ignore_file, content) -> DataFrame:
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(load)
     base = root.rstrip("/") + "/"
     f = f.withColumn("absolute_path", F.regexp_replace("path", "^file:/*", "/")).withColumn("path", F.expr(f"substring(absolute_path, {len(base) + 1})"))
     known = list(lang.CODE | lang.CONFIG | lang.MARKDOWN)
@@ -64,4 +84,4 @@ def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclu
     skip = any_of([*EXCLUDED, *(f"**/{e}" for e in EXCLUDED), *ignore_globs(ignore_file), *(exclude or [])])
     f = f.filter(want & ~F.col("path").rlike(skip) & ~F.col("path").rlike(r"(^|/)\."))
     cols = ["path", "absolute_path", lang.kind(F.col("path")).alias("kind"), lang.language(F.col("path")).alias("language"), F.col("length").alias("size_bytes"), (F.unix_millis("modificationTime")).alias("mtime_ms")]
-    return f.select(*cols, *([F.decode("content", "UTF-8").alias("text")] if content else [])).orderBy("path")
+    return f.select(*cols, *([F.decode("content", "UTF-8").alias("text")] if content else []))

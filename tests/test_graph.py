@@ -2,7 +2,9 @@
 
 import datetime as dt
 
-from lodewell.operators import graph, symbols
+from pyspark.sql import functions as F
+
+from lodewell.operators import fulltext, graph, symbols
 from lodewell.plans.engine import Engine, fit_to_budget, pick_workspace
 from lodewell.streaming import watch
 
@@ -88,6 +90,87 @@ def test_engine(spark, tmp_path):
     assert e.code_query("greetUser")["sources"] == [] or "byeUser" in e.code_query("byeUser")["context"]
 
 
+def test_engine_reads_and_parses_only_what_changed(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    for i in range(4):
+        (src / f"m{i}.py").write_text(f"def f{i}(x):\n    return x + {i}\n")
+    (src / "odd name [1].py").write_text("def odd():\n    return 1\n")
+    e = Engine(spark, str(tmp_path / "ws"))
+    e.index_workspace(str(src))
+    (src / "m1.py").write_text("def g1(x):\n    return f0(x)\n")
+    (src / "odd name [1].py").write_text("def odder():\n    return 1\n")
+    e.index_workspace(str(src))
+    runs = [(r["files_listed"], r["files_read"], r["files_parsed"]) for r in e.snapshots.read("runs").orderBy("epoch").collect()]
+    assert runs == [(5, 5, 5), (5, 2, 2)]
+    assert sorted(r["heading"] for r in e.tables().chunks.collect()) == ["f0", "f2", "f3", "g1", "odder"]
+    assert {r["path"] for r in fulltext.search(e.tables().index, fulltext.query_frame(spark, [(1, "f1 g1 odder f0")]), 10).collect()} == {"m0.py", "m1.py", "odd name [1].py"}
+    before = e.snapshots.epoch()
+    e.settings.chunking = {"targetTokens": 64, "overlapTokens": 0}  # all is chunked again, nothing parsed
+    e.index_workspace(str(src))
+    last = e.snapshots.read("runs").orderBy("epoch").collect()[-1]
+    assert e.snapshots.epoch() == before + 1 and (last["files_read"], last["files_parsed"], last["chunks_written"]) == (5, 0, 5)
+    assert e.catch_up(str(src)) and not e.catch_up(str(src))
+    e.log_query("q", e.code_query("f0"))
+    assert e.query_log().count() == 1
+
+
+def test_symbols_after_a_split_one_keep_their_chunks(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    big = "def big(x):\n" + "".join(f"    x = x + {i}\n" for i in range(400)) + "    return small(x)\n"
+    (src / "a.py").write_text(big + "\n\ndef small(x):\n    return tail(x)\n\n\ndef tail(x):\n    return x\n")
+    e = Engine(spark, str(tmp_path / "ws"))
+    e.settings.chunking = {"targetTokens": 128, "overlapTokens": 16}
+    e.index_workspace(str(src))
+    t = e.tables()
+    symbols_ = {r["label"]: r["ref_id"] for r in t.nodes.filter("type = 'symbol'").collect()}
+    bodies = {r["chunk_id"]: r["content"] for r in t.chunks.collect()}
+    assert set(symbols_.values()) <= bodies.keys() and bodies[symbols_["big"]].endswith("return small(x)") and bodies[symbols_["small"]].startswith("def small")
+    assert e.code_context("small")["symbol"]["snippet"].startswith("def small")
+    seed = spark.createDataFrame([(1, symbols_["big"])], "query_id int, chunk_id string")
+    assert symbols_["small"] in {r["chunk_id"] for r in graph.expand(seed, t.nodes, t.edges, t.chunks.withColumn("path", F.col("chunk_id")), 1, 5).collect()}
+
+
+def test_questions_are_compared_with_stored_vectors(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.md").write_text("# One\nabout pumps and valves\n")
+    (src / "b.md").write_text("# Two\nabout cats\n")
+    calls = []
+
+    def provider(texts):  # files about pumps and questions about hydraulics lie close together
+        calls.append(len(texts))
+        return [[1.0, 0.0] if "pumps" in x or "hydraulics" in x else [0.0, 1.0] for x in texts]
+
+    e = Engine(spark, str(tmp_path / "ws"), provider=provider, model="two")
+    e.index_workspace(str(src))
+    assert e.code_query("hydraulics")["sources"] == []
+    assert {r["status"]: r["chunks"] for r in e.embed().collect()} == {"embedded": 2}
+    assert [s["path"] for s in e.code_query("hydraulics")["sources"]] == ["a.md"]
+    assert e.embed().count() == 0  # nothing is left to embed
+    (src / "c.md").write_text("# Three\nmore cats\n")
+    e.index_workspace(str(src))
+    assert {r["status"]: r["chunks"] for r in e.embed().collect()} == {"embedded": 1} and e.tables().embeddings.count() == 3
+
+
+def test_an_epoch_is_published_once(spark, tmp_path):
+    from lodewell.operators.upkeep import Snapshots
+
+    s = Snapshots(spark, str(tmp_path / "snap"))
+    s.publish({"n": spark.range(3)}, 1)
+    a, b = s.begin(2), s.begin(2)
+    a.write("n", spark.range(4)), b.write("n", spark.range(9))
+    a.commit()
+    for late in (b.commit, lambda: s.publish({"n": spark.range(9)}, 2)):
+        try:
+            late()
+            raise AssertionError
+        except RuntimeError:
+            pass
+    assert s.read("n").count() == 4
+
+
 def test_budget_and_selectors():
     out = fit_to_budget({"results": ["x" * 400] * 5, "context": "y" * 4000, "metrics": {"n": 1}}, 100)
     assert len(str(out)) < 700 and out["metrics"] == {"n": 1}

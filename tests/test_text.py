@@ -89,6 +89,6 @@ def test_scan(spark, tmp_path):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text("x = 1\n")
     got = files.scan(spark, str(tmp_path), exclude=["**/*_test.py"], ignore_file="# note\n\nout/\n!keep\n", content=True)
-    assert [(r["path"], r["kind"], r["text"]) for r in got.collect()] == [("docs/d.md", "markdown", "x = 1\n"), ("src/a.py", "code", "x = 1\n")]
+    assert sorted((r["path"], r["kind"], r["text"]) for r in got.collect()) == [("docs/d.md", "markdown", "x = 1\n"), ("src/a.py", "code", "x = 1\n")]
     assert files.ignore_globs("a/b\nc") == ["a/b", "a/b/**", "c", "c/**", "**/c", "**/c/**"]
     assert [r["path"] for r in files.scan(spark, str(tmp_path), include=["*.bin"]).collect()] == ["f.bin"]
