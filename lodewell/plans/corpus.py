@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodewell.functions import languages as lang
 from lodewell.functions.text import ACCENTED, FOLDED, search_text
 from lodewell.operators import fulltext
-from lodewell.session import checkpoint_folder
+from lodewell.session import checkpoint_folder, stamps
 from lodewell.sources.tables import table
 
 
@@ -27,12 +27,15 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return c.join(docs, "document_id").withColumn("body", search_text(F.col("metadata"), F.col("content")))
 
 
-_indexes: dict[tuple[str, str], fulltext.Index] = {}
+_indexes: dict[tuple, fulltext.Index] = {}
 
 
 def index(spark: SparkSession, d: str) -> fulltext.Index:
-    """The index over the chunks of a folder, written once per session to the shared folder and then read."""
-    key = (spark.sparkContext.applicationId, d)
+    """The index over the chunks of a folder, written once per session to the shared folder and then read.
+
+    It is made anew when files of the tables it is built from have changed.
+    """
+    key = (spark.sparkContext.applicationId, d, stamps(table(spark, d, "chunks"), table(spark, d, "documents")))
     if key not in _indexes:
         _indexes[key] = fulltext.save(fulltext.build(chunks(spark, d)), f"{checkpoint_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}")
     return _indexes[key]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodewell.functions.languages import is_boosted
 from lodewell.functions.text import token_count
-from lodewell.operators import fulltext, fusion, metrics, vectors
+from lodewell.operators import fulltext, fusion, graph, metrics, vectors
 from lodewell.plans import corpus as C
 from lodewell.sources.tables import table
 
@@ -62,25 +62,25 @@ def fts_backfill(spark, d):
 
 
 def _vector_parts(spark, d):
+    """All newest usable vectors with their paths, and as queries those whose id is divisible by 50."""
     v = C.vectors(spark, d).withColumn("model", F.concat_ws("/", "provider", "model"))
-    q = v.groupBy("model").agg(F.min("embedding_id").alias("query_id"), F.min_by("embedding", "embedding_id").alias("embedding"))
     paths = C.chunks(spark, d).select("chunk_id", "path")
+    q = v.filter("embedding_id % 50 = 0").select(F.col("embedding_id").alias("query_id"), "model", "embedding")
     return v.select("chunk_id", "model", "embedding").join(paths, "chunk_id"), q
 
 
 def vector_search(spark, d):
-    """The best paths for the first vector of each model: bonus and threshold included."""
+    """The best paths for every fiftieth vector among all of its model and dimensions: bonus and threshold included."""
     return vectors.rank(*_vector_parts(spark, d), 20).drop("rank")
 
 
 def vector_pairs(spark, d):
     """Cosine of every vector of embeddings with those whose id is divisible by 50."""
-    from lodewell.functions.text import cosine
-
-    e = table(spark, d, "embeddings")
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"), F.lit(1).alias("one"))
-    s = e.withColumn("one", F.lit(1)).join(q, "one").select("query_id", "vec_id", "label", F.round(cosine(F.col("embedding"), F.col("qe")), 6).alias("cosine"))
-    return s.filter("cosine >= 0.3")
+    e = table(spark, d, "embeddings").withColumn("model", F.lit("m"))
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "model", "embedding")
+    s = vectors.compared(e.select(F.col("vec_id").alias("chunk_id"), F.lit("").alias("path"), "model", "embedding"), q, None, 0.2999, False)
+    s = s.select("query_id", F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("cosine")).filter("cosine >= 0.3")
+    return s.join(e.select("vec_id", "label"), "vec_id").select("query_id", "vec_id", "label", "cosine")
 
 
 def vector_boost_counts(spark, d):
@@ -91,19 +91,21 @@ def embedding_dedup(spark, d):
     return vectors.dedup(table(spark, d, "chunk_embeddings")).select("chunk_id", "provider", "model", "embedding_id", "input_hash")
 
 
-def _code_vectors(spark, d):
-    """chunk_embeddings with models named without their version suffix."""
-    return table(spark, d, "chunk_embeddings").withColumn("model", F.split_part("model", F.lit(":"), F.lit(1)))
+def _active(spark, d):
+    """chunk_embeddings and the stored name of the active model, its version suffix included."""
+    e = table(spark, d, "chunk_embeddings")
+    return e, vectors.active_model(e, "local", "code-mini-64")
 
 
 def embedding_pending(spark, d):
-    c = table(spark, d, "chunks").select("chunk_id").distinct()
-    return vectors.to_embed(c, _code_vectors(spark, d), "local", "code-mini-64")
+    e, model = _active(spark, d)
+    return vectors.to_embed(table(spark, d, "chunks").select("chunk_id").distinct(), e, "local", model)
 
 
 def embedding_reuse(spark, d):
+    e, model = _active(spark, d)
     c = table(spark, d, "chunks").select("chunk_id", F.col("content_hash").alias("input_hash")).distinct()
-    return vectors.reuse(c, _code_vectors(spark, d), "local", "code-mini-64").select("chunk_id", "reused_from")
+    return vectors.reuse(c, e, "local", model).select("chunk_id", "reused_from")
 
 
 def embedding_upsert(spark, d):
@@ -114,8 +116,8 @@ def embedding_upsert(spark, d):
 
 def embed_offline(spark, d):
     """Vectors of all pending chunks by the offline embedder."""
-    c = C.chunks(spark, d)
-    p = vectors.to_embed(c, _code_vectors(spark, d), "local", "code-mini-64").select("chunk_id", F.concat_ws("\n", "path", "heading", "content").alias("input"))
+    e, model = _active(spark, d)
+    p = vectors.to_embed(C.chunks(spark, d), e, "local", model).select("chunk_id", F.concat_ws("\n", "path", "heading", "content").alias("input"))
     return vectors.embed(p, vectors.hashing_embedder(64)).select("chunk_id", F.size("embedding").alias("dimensions"), "error")
 
 
@@ -162,9 +164,19 @@ def retrieval_metrics(spark, d):
 
 
 def hybrid_search(spark, d):
-    """Text search fused with the logged vector lists and packed, for all logged queries at once."""
-    found = _found(spark, d).select("query_id", "chunk_id", "path", "rank")
-    f = fusion.fuse([found, C.hits(spark, d, "vector")], fusion.FIRST)
+    """Text search, ranking of stored vectors and graph expansion, fused and packed, for all logged queries at once.
+
+    Stored vectors come from a model that is not at hand for the questions, so a question's vector is that of its best text hit.
+    """
+    found = _found(spark, d)
+    e, model = _active(spark, d)
+    stored = C.vectors(spark, d).filter((F.col("provider") == "local") & (F.col("model") == model)).select("chunk_id", "model", "embedding")
+    asked = found.filter("rank = 1").join(stored, "chunk_id").select("query_id", "model", "embedding")
+    near = vectors.rank(stored.join(C.chunks(spark, d).select("chunk_id", "path"), "chunk_id"), asked, 20)
+    first = fusion.fuse([found, near], fusion.FIRST)
+    n, edges = C.graph(spark, d)
+    around = graph.expand(first.filter("rank <= 5").select("query_id", "chunk_id"), n, edges, C.chunks(spark, d), 1, 15)
+    f = fusion.fuse([first, around], fusion.SECOND)
     t = C.chunks(spark, d).select("chunk_id", token_count(F.col("content")).alias("tokens"))
     return _r6(fusion.pack(f.join(t, "chunk_id")), "score")
 
@@ -235,6 +247,29 @@ def _cos(a: str, b: str) -> str:
     return f"{_COS.format(a=a, b=b)} / sqrt({_COS.format(a=a, b=a)} * {_COS.format(a=b, b=b)})"
 
 
+def _rank_sql(out: str, stored: str, asked: str) -> str:
+    """Paths by the cosine of stored (chunk_id, model, embedding) with asked (query_id, model, qe), bonus and threshold included."""
+    return f"""
+{out}_s AS (SELECT query_id, v.chunk_id, path, round(CASE WHEN sqrt({_COS.format(a='embedding', b='embedding')} * {_COS.format(a='qe', b='qe')}) > 0 THEN {_cos('embedding', 'qe')} ELSE 0.0 END
+  + CASE WHEN regexp_matches(lower(path), '[^/.][^/]*\\.(ts|tsx|js|jsx|mjs|cjs|mts|cts|py|go|rs)$') THEN 0.05 ELSE 0.0 END, 9) AS score FROM {stored} v JOIN {asked} q USING (model) JOIN v_chunk USING (chunk_id) WHERE len(embedding) = len(qe)),
+{out}_b AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY score DESC, chunk_id) AS b FROM {out}_s WHERE score >= 0.3),
+{out} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM {out}_b WHERE b = 1)"""
+
+
+def _expand_sql(out: str, seed: str, depth: int, limit: int) -> str:
+    """Chunks near the chunks of seed (query_id, chunk_id) in the graph of GRAPH_SQL, which must stand before, with {out}_both."""
+    return f"""
+{out}_walk AS (SELECT query_id, 's' || chunk_id AS node_id, 0 AS depth FROM {seed} JOIN v_chunk USING (chunk_id) UNION SELECT query_id, b, depth + 1 FROM {out}_walk JOIN g_both ON a = node_id WHERE depth < {depth}),
+{out}_near AS (SELECT w.query_id, n.ref_id AS chunk_id, min(depth) AS distance FROM {out}_walk w JOIN g_node n USING (node_id) WHERE n.type = 'symbol' AND depth > 0 AND NOT EXISTS (SELECT 1 FROM {seed} s WHERE s.query_id = w.query_id AND s.chunk_id = n.ref_id) GROUP BY 1, 2),
+{out}_o AS (SELECT x.*, path, row_number() OVER (PARTITION BY query_id ORDER BY distance, path, chunk_id) AS r FROM {out}_near x JOIN v_chunk USING (chunk_id)),
+{out}_b AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY r) AS b FROM {out}_o WHERE r <= {limit * 5}),
+{out}_k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY r) AS INTEGER) AS rank FROM {out}_b WHERE b = 1),
+{out} AS (SELECT query_id, chunk_id, path, CAST(1.0 / (distance + 1) AS DOUBLE) AS score, rank FROM {out}_k WHERE rank <= {limit})"""
+
+
+BOTH_SQL = "g_both AS (SELECT from_id AS a, to_id AS b FROM g_edge UNION SELECT to_id, from_id FROM g_edge)"
+
+
 def _list_sql(name: str) -> str:
     return f"l_{name} AS (SELECT query_id, chunk_id, path, min(list_position) AS rank FROM chunk_hits WHERE list_name = '{name}' GROUP BY 1, 2, 3)"
 
@@ -277,7 +312,7 @@ quality AS (SELECT i.item_id AS query_id, coalesce(len(expected_paths), 0) > 0 A
 
 QUERIES = {f.__name__: f for f in (fts_search, fts_terms, fts_search_repeated_term, fts_document_frequency, fts_lengths, fts_index_check, fts_orphans, fts_backfill, vector_search, vector_pairs, vector_boost_counts,
     embedding_dedup, embedding_pending, embedding_reuse, embedding_upsert, embed_offline, rrf_two_lists, rrf_with_graph, pack_budget, render_context, token_attribution, retrieval_metrics, hybrid_search, retrieval_eval, retrieval_summary)}
-_LOCAL = "provider = 'local' AND split_part(model, ':', 1) = 'code-mini-64'"
+_LOCAL = "provider = 'local' AND model = (SELECT arg_max(model, created_at) FROM chunk_embeddings WHERE provider = 'local' AND split_part(model, ':', 1) = 'code-mini-64')"
 SQL = {
     "fts_search": f"{_FTS} SELECT query_id, chunk_id, path, score, rank FROM found",
     "fts_terms": f"WITH {_prefix_sql('query_logs').lstrip()} SELECT query_id, n, prefix FROM q_prefix",
@@ -289,17 +324,15 @@ SQL = {
     "fts_backfill": "SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM chunk_embeddings WHERE chunk_id IS NOT NULL)",
     "vector_search": f"""WITH {C.CHUNK_SQL},{C.VECTOR_SQL},
 v AS (SELECT chunk_id, embedding_id, provider || '/' || model AS model, embedding FROM v_vec),
-q AS (SELECT model, min(embedding_id) AS query_id, arg_min(embedding, embedding_id) AS qe FROM v GROUP BY 1),
-s AS (SELECT query_id, v.chunk_id, path, round(CASE WHEN sqrt({_COS.format(a='embedding', b='embedding')} * {_COS.format(a='qe', b='qe')}) > 0 THEN {_cos('embedding', 'qe')} ELSE 0.0 END
-  + CASE WHEN regexp_matches(lower(path), '[^/.][^/]*\\.(ts|tsx|js|jsx|mjs|cjs|mts|cts|py|go|rs)$') THEN 0.05 ELSE 0.0 END, 9) AS score FROM v JOIN q USING (model) JOIN v_chunk USING (chunk_id) WHERE len(embedding) = len(qe)),
-b AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY score DESC, chunk_id) AS b FROM s WHERE score >= 0.3),
-t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b WHERE b = 1)
+q AS (SELECT model, embedding_id AS query_id, embedding AS qe FROM v WHERE embedding_id % 50 = 0),
+{_rank_sql('t', 'v', 'q')}
 SELECT query_id, path, chunk_id, score FROM t WHERE rank <= 20""",
     "vector_pairs": f"SELECT q.vec_id AS query_id, e.vec_id, e.label, round({_cos('e.embedding', 'q.embedding')}, 6) AS cosine FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 WHERE round({_cos('e.embedding', 'q.embedding')}, 6) >= 0.3",
     "vector_boost_counts": f"WITH {C.DOC_SQL} SELECT coalesce(regexp_matches(lower(path), '[^/.][^/]*\\.(ts|tsx|js|jsx|mjs|cjs|mts|cts|py|go|rs)$'), false) AS boosted, count(*) AS files FROM v_doc GROUP BY 1",
     "embedding_dedup": "SELECT chunk_id, provider, model, embedding_id, input_hash FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, provider, model ORDER BY (input_hash IS NOT NULL) DESC, created_at DESC NULLS LAST, embedding_id) AS rn FROM chunk_embeddings) WHERE rn = 1",
     "embedding_pending": f"SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM chunk_embeddings WHERE {_LOCAL})",
     "embedding_reuse": f"WITH k AS (SELECT input_hash, min(embedding_id) AS reused_from FROM chunk_embeddings WHERE {_LOCAL} AND input_hash IS NOT NULL GROUP BY 1) SELECT chunk_id, reused_from FROM (SELECT DISTINCT chunk_id, content_hash FROM chunks) LEFT JOIN k ON input_hash = content_hash",
+    "embed_offline": f"SELECT DISTINCT chunk_id, CAST(64 AS INTEGER) AS dimensions, CAST(NULL AS VARCHAR) AS error FROM chunks JOIN documents ON doc_id = document_id WHERE chunk_id NOT IN (SELECT chunk_id FROM chunk_embeddings WHERE {_LOCAL})",
     "embedding_upsert": """WITH b AS (SELECT embedding_id, chunk_id, provider, model, input_hash, created_at, 0 AS n FROM chunk_embeddings
   UNION ALL SELECT embedding_id + 10000000, chunk_id, provider, model, 'new', created_at, 1 FROM chunk_embeddings WHERE provider = 'remote')
 SELECT chunk_id, provider, model, embedding_id, input_hash FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, provider, model ORDER BY n DESC, created_at DESC NULLS LAST, embedding_id DESC) AS rn FROM b) WHERE rn = 1""",
@@ -318,7 +351,15 @@ s AS (SELECT query_id, count(*) AS selected_files, coalesce(sum(ft), 0) AS full_
 c AS (SELECT query_id, count(DISTINCT path) AS candidate_files FROM priced GROUP BY 1)
 SELECT query_id, candidate_files, coalesce(selected_files, 0) AS selected_files, CAST(coalesce(full_tokens, 0) AS BIGINT) AS full_tokens, CAST(coalesce(used_tokens, 0) AS BIGINT) AS used_tokens,
   CAST(greatest(0, coalesce(full_tokens, 0) - coalesce(used_tokens, 0)) AS BIGINT) AS saved_tokens FROM c LEFT JOIN s USING (query_id)""",
-    "hybrid_search": f"WITH RECURSIVE {C.CHUNK_SQL},{_prefix_sql('query_logs')},{_search_sql(20)},{_list_sql('vector')},{_fuse_sql('f1', 'found', 'l_vector', 2.0, 1.0)},{_pack_sql('f1', 10, 4000)} SELECT query_id, position, chunk_id, path, round(score, 6) AS score, tokens FROM packed",
+    "hybrid_search": f"""WITH RECURSIVE {C.GRAPH_SQL}, {BOTH_SQL},{C.VECTOR_SQL},{_prefix_sql('query_logs')},{_search_sql(20)},
+stored AS (SELECT chunk_id, model, embedding FROM v_vec WHERE {_LOCAL}),
+asked AS (SELECT query_id, model, embedding AS qe FROM found JOIN stored USING (chunk_id) WHERE rank = 1),
+{_rank_sql('n_all', 'stored', 'asked')},
+n_vec AS (SELECT query_id, chunk_id, path, rank FROM n_all WHERE rank <= 20),
+{_fuse_sql('f1', 'found', 'n_vec', 2.0, 1.0)},
+seed AS (SELECT query_id, chunk_id FROM f1 WHERE rank <= 5),{_expand_sql('x', 'seed', 1, 15)},
+{_fuse_sql('f2', 'f1', 'x', 1.0, 0.25)},{_pack_sql('f2', 10, 4000)}
+SELECT query_id, position, chunk_id, path, round(score, 6) AS score, tokens FROM packed""",
     "retrieval_eval": f"{_EVAL} SELECT query_id, evaluated, first_rank, round(reciprocal, 6) AS reciprocal, hit, round(duplicate_rate, 6) AS duplicate_rate FROM quality",
     "retrieval_summary": f"""{_EVAL} SELECT count(*) AS cases, count(*) FILTER (evaluated) AS evaluated, round(count(*) FILTER (evaluated AND hit) / greatest(count(*) FILTER (evaluated), 1), 6) AS recall,
   round(coalesce(sum(reciprocal) FILTER (evaluated), 0) / greatest(count(*) FILTER (evaluated), 1), 6) AS mrr, round(avg(duplicate_rate), 6) AS duplicate_rate FROM quality""",

@@ -7,8 +7,11 @@ import os
 from pyspark.sql import functions as F
 
 from lodewell.functions import text as X
-from lodewell.operators import chunkers, graph, symbols, tokens
+from lodewell.operators import chunkers, fusion, graph, symbols, tokens
+from lodewell.operators.changes import latest_by
 from lodewell.plans import corpus as C
+from lodewell.plans.retrieval import _FUSE1, BOTH_SQL, _expand_sql
+from lodewell.session import cut_lineage
 from lodewell.sources import files
 from lodewell.sources.tables import table
 
@@ -147,40 +150,47 @@ def parse_cache(spark, d):
     return both.groupBy("language", "cached").agg(F.count(F.lit(1)).alias("files"))
 
 
+def _delivered(spark, d):
+    """Of each workspace and path the row delivered last."""
+    return latest_by(C.documents(spark, d), ["workspace_id", "path"], [F.desc_nulls_last("updated_at"), F.desc("doc_id")])
+
+
 def code_graph(spark, d):
-    """The graph of all code: nodes and edges by type, from parsing to call resolution."""
-    docs = C.documents(spark, d).dropDuplicates(["path"]).filter("kind = 'code'")
-    parsed = symbols.parse_documents(docs).withColumnRenamed("doc_id", "document_id")
+    """The graph of all code, documents and configuration: nodes and edges by type; each workspace is resolved by itself."""
+    by = ["workspace_id"]
+    docs = _delivered(spark, d).filter("kind in ('code', 'markdown', 'config')")
+    parsed = symbols.parse_documents(docs).join(docs.select("doc_id", *by), "doc_id").withColumnRenamed("doc_id", "document_id")
+    parsed = cut_lineage(parsed)  # nodes and three kinds of edges are made from one parse
     ch = chunkers.symbol_chunks(parsed, docs.withColumnRenamed("doc_id", "document_id"), "document_id")
-    ch = ch.select((F.col("document_id") * 1000 + F.col("chunk_index")).alias("chunk_id"), "document_id", "chunk_index", F.col("heading").alias("symbol"))
-    n = graph.build_nodes(parsed, ch)
-    imp = parsed.select(F.col("path").alias("importer"), F.explode("imports").alias("path"), "language")
-    calls = parsed.select("path", F.explode(F.slice("calls", 1, graph.CALLS)).alias("c")).select("path", "c.caller", "c.callee")
-    e = graph.defines_edges(n).unionByName(graph.imports_edges(graph.resolve_imports(imp, docs), n)).unionByName(graph.calls_edges(calls, n))
+    ch = ch.select(F.concat_ws("-", "document_id", "chunk_index").alias("chunk_id"), "document_id", "chunk_index", F.col("heading").alias("symbol"))
+    n = graph.build_nodes(parsed, ch, by)
+    imp = parsed.select(*by, F.col("path").alias("importer"), F.explode("imports").alias("path"), "language")
+    calls = parsed.select(*by, "path", F.explode(F.slice("calls", 1, graph.CALLS)).alias("c")).select(*by, "path", "c.caller", "c.callee")
+    e = graph.defines_edges(n, by).unionByName(graph.imports_edges(graph.resolve_imports(imp, docs, by), n, by)).unionByName(graph.calls_edges(calls, n, by))
     return n.groupBy(F.concat(F.lit("node "), "type").alias("what")).agg(F.count(F.lit(1)).alias("rows")).unionByName(e.groupBy(F.concat(F.lit("edge "), "type").alias("what")).agg(F.count(F.lit(1)).alias("rows")))
 
 
 def import_resolution(spark, d):
-    """Each file's sibling, package and folder imports, as candidates met with the files there are."""
-    docs = C.documents(spark, d).select("path", "language").dropDuplicates(["path"])
+    """Each file's sibling, package and folder imports, as candidates met with the files of its workspace."""
+    by = ["workspace_id"]
+    docs = C.documents(spark, d).select(*by, "path", "language").distinct()
     name = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)
-    imp = docs.select(F.col("path").alias("importer"), F.concat(F.lit("./"), name).alias("path"), "language").unionByName(docs.select(F.col("path").alias("importer"), F.concat(F.lit("./missing/../"), name).alias("path"), "language"))
-    return graph.resolve_imports(imp, docs)
-
-
-def _seeds(spark, d):
-    h = C.hits(spark, d, "fts")
-    return h.filter("rank <= 3").select("query_id", "chunk_id").distinct()
+    files_ = F.col("path").alias("importer")
+    imp = docs.select(*by, files_, F.concat(F.lit("./"), name).alias("path"), "language").unionByName(docs.select(*by, files_, F.concat(F.lit("./missing/../"), name).alias("path"), "language"))
+    return graph.resolve_imports(imp, docs, by)
 
 
 def graph_expand(spark, d):
+    """Chunks near the first five fused hits of each query."""
     n, e = C.graph(spark, d)
-    return graph.expand(_seeds(spark, d), n, e, C.chunks(spark, d), 2, 15)
+    first = fusion.fuse([C.hits(spark, d, "fts"), C.hits(spark, d, "vector")], fusion.FIRST)
+    return graph.expand(first.filter("rank <= 5").select("query_id", "chunk_id"), n, e, C.chunks(spark, d), 2, 15)
 
 
 def graph_distances(spark, d):
+    """From the first file of each workspace."""
     n, e = C.graph(spark, d)
-    s = spark.createDataFrame([("q", "f1"), ("q", "f2"), ("r", "f3")], "seed_id string, node_id string")
+    s = C.documents(spark, d).groupBy(F.col("workspace_id").alias("seed_id")).agg(F.concat(F.lit("f"), F.min("doc_id")).alias("node_id"))
     return graph.distances(s, e, 4)
 
 
@@ -195,7 +205,7 @@ def graph_degrees(spark, d):
 
 
 def graph_curated(spark, d):
-    n, e = graph.curated(*C.graph(spark, d), 500, 300)
+    n, e = graph.curated(*C.graph(spark, d))
     return e.select("edge_id", "from_id", "to_id", "type")
 
 
@@ -219,7 +229,6 @@ def edge_dedup(spark, d):
 
 _SCAN = files.any_of([*files.EXCLUDED, *(f"**/{e}" for e in files.EXCLUDED)]).replace("'", "''")
 _G = f"WITH RECURSIVE {C.GRAPH_SQL}"
-_BOTH = "g_both AS (SELECT from_id AS a, to_id AS b FROM g_edge UNION SELECT to_id, from_id FROM g_edge)"
 QUERIES = {f.__name__: f for f in (scan_languages, scan_filter, document_listing, chunk_windows, chunk_token_stats, chunk_bounded, chunk_line_blocks, chunk_whole, content_hash_groups, identifier_terms, short_hashes, workspace_slugs,
     chunk_metadata, embedding_inputs, call_names, vector_codec, bpe_windows, bpe_counts, _sections("markdown"), _sections("yaml"), _sections("json"), _sections("toml"), wikilinks, parsed_symbols, parsed_calls, symbol_chunks, parse_cache, code_graph, import_resolution,
     graph_expand, graph_distances, graph_neighbours, graph_degrees, graph_curated, graph_label_search, graph_filtered, graph_adjacency, edge_dedup)}
@@ -257,26 +266,23 @@ SELECT d.doc_id, coalesce(string_agg(x, ' ' ORDER BY i), '') AS terms FROM v_doc
     "vector_codec": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * v))), 5) AS norm, CAST(len(embedding) AS INTEGER) AS dimensions FROM embeddings",
     "parse_cache": f"""WITH {C.DOC_SQL}, g AS (SELECT DISTINCT document_id, lower(content_hash) AS h FROM parsed_documents WHERE parser_version IN ('oxc-v2', 'native-v1', 'fallback-v1'))
 SELECT language, g.h IS NOT NULL AS cached, count(*) AS files FROM v_doc d LEFT JOIN g ON g.document_id = d.doc_id AND g.h = lower(d.content_hash) GROUP BY 1, 2""",
-    "import_resolution": f"""WITH {C.DOC_SQL}, p AS (SELECT DISTINCT path FROM v_doc),
-i AS (SELECT path AS importer, regexp_extract(path, '([^/]*)\\.[^./]*$', 1) AS name, coalesce(regexp_extract(path, '^(.*)/[^/]*$', 1), '') AS folder FROM p),
-q AS (SELECT importer, './' || name AS path, trim(folder || '/' || name, '/') AS base FROM i UNION ALL SELECT importer, './missing/../' || name, trim(folder || '/' || name, '/') FROM i),
-x AS (SELECT importer, path, unnest([base] || list_transform([{', '.join(map(repr, graph.TRIED))}], lambda e: base || '.' || e) || list_transform([{', '.join(map(repr, graph.TRIED))}], lambda e: base || '/index.' || e)) AS c,
-  generate_subscripts([base] || list_transform([{', '.join(map(repr, graph.TRIED))}], lambda e: base || '.' || e) || list_transform([{', '.join(map(repr, graph.TRIED))}], lambda e: base || '/index.' || e), 1) AS n FROM q)
-SELECT importer, x.path, arg_min(c, n) AS target FROM x JOIN p ON p.path = x.c GROUP BY 1, 2""",
-    "graph_expand": f"""{_G}, {_BOTH},
-seed AS (SELECT DISTINCT query_id, chunk_id FROM (SELECT query_id, chunk_id, path, min(list_position) AS r FROM chunk_hits WHERE list_name = 'fts' GROUP BY 1, 2, 3) WHERE r <= 3),
-walk AS (SELECT query_id, 's' || chunk_id AS node_id, 0 AS depth FROM seed JOIN v_chunk USING (chunk_id) UNION SELECT query_id, b, depth + 1 FROM walk JOIN g_both ON a = node_id WHERE depth < 2),
-near AS (SELECT w.query_id, n.ref_id AS chunk_id, min(depth) AS distance FROM walk w JOIN g_node n USING (node_id) WHERE n.type = 'symbol' AND depth > 0 AND NOT EXISTS (SELECT 1 FROM seed s WHERE s.query_id = w.query_id AND s.chunk_id = n.ref_id) GROUP BY 1, 2),
-o AS (SELECT near.*, path, row_number() OVER (PARTITION BY query_id ORDER BY distance, path, chunk_id) AS r FROM near JOIN v_chunk USING (chunk_id)),
-b AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY r) AS b FROM o WHERE r <= 75),
-k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY r) AS INTEGER) AS rank FROM b WHERE b = 1)
-SELECT query_id, chunk_id, path, CAST(1.0 / (distance + 1) AS DOUBLE) AS score, rank FROM k WHERE rank <= 15""",
-    "graph_distances": f"""{_G}, {_BOTH},
-walk AS (SELECT * FROM (VALUES ('q', 'f1', 0), ('q', 'f2', 0), ('r', 'f3', 0)) AS t(seed_id, node_id, depth) UNION SELECT seed_id, b, depth + 1 FROM walk JOIN g_both ON a = node_id WHERE depth < 4)
+    "import_resolution": f"""WITH {C.DOC_SQL}, p AS (SELECT DISTINCT workspace_id, path FROM v_doc),
+i AS (SELECT workspace_id, path AS importer, regexp_extract(path, '([^/]*)\\.[^./]*$', 1) AS name, coalesce(regexp_extract(path, '^(.*)/[^/]*$', 1), '') AS folder FROM p),
+q AS (SELECT workspace_id, importer, './' || name AS path, trim(folder || '/' || name, '/') AS base FROM i UNION ALL SELECT workspace_id, importer, './missing/../' || name, trim(folder || '/' || name, '/') FROM i),
+l AS (SELECT *, [base] || list_transform([{', '.join(map(repr, graph.TRIED))}], lambda e: base || '.' || e) || list_transform([{', '.join(map(repr, graph.TRIED))}], lambda e: base || '/index.' || e) AS cs FROM q),
+x AS (SELECT workspace_id, importer, path, unnest(cs) AS c, generate_subscripts(cs, 1) AS n FROM l)
+SELECT workspace_id, importer, x.path, arg_min(c, n) AS target FROM x JOIN p USING (workspace_id) WHERE p.path = x.c GROUP BY 1, 2, 3""",
+    "graph_expand": f"""{_G}, {BOTH_SQL}, {_FUSE1},
+seed AS (SELECT query_id, chunk_id FROM f1 WHERE rank <= 5),{_expand_sql('x', 'seed', 2, 15)}
+SELECT query_id, chunk_id, path, score, rank FROM x""",
+    "graph_distances": f"""{_G}, {BOTH_SQL},
+walk AS (SELECT workspace_id AS seed_id, 'f' || min(doc_id) AS node_id, 0 AS depth FROM v_doc GROUP BY 1 UNION SELECT seed_id, b, depth + 1 FROM walk JOIN g_both ON a = node_id WHERE depth < 4)
 SELECT seed_id, node_id, min(depth) AS distance FROM walk GROUP BY 1, 2""",
+    "wikilinks": f"""WITH {C.DOC_SQL}, l AS (SELECT doc_id, array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT regexp_matches(x, '^#{{1,6}}\\s')), chr(10)) AS body FROM v_doc WHERE kind = 'markdown')
+SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(body, '\\[\\[([^\\]]+)\\]\\]', 1))) AS INTEGER) AS links FROM l""",
     "graph_degrees": f"{_G} SELECT node_id, count(*) AS degree FROM (SELECT from_id AS node_id FROM g_edge UNION ALL SELECT to_id FROM g_edge) GROUP BY 1",
-    "graph_curated": f"""{_G}, n AS (SELECT node_id FROM g_node ORDER BY CASE type WHEN 'file' THEN 0 WHEN 'symbol' THEN 1 ELSE 999 END, created_at DESC NULLS LAST, node_id LIMIT 500)
-SELECT edge_id, from_id, to_id, type FROM g_edge WHERE from_id IN (SELECT node_id FROM n) AND to_id IN (SELECT node_id FROM n) ORDER BY edge_id LIMIT 300""",
+    "graph_curated": f"""{_G}, n AS (SELECT node_id FROM g_node ORDER BY CASE type WHEN 'file' THEN 0 WHEN 'symbol' THEN 1 ELSE 999 END, created_at DESC NULLS LAST, node_id LIMIT 25000)
+SELECT edge_id, from_id, to_id, type FROM g_edge WHERE from_id IN (SELECT node_id FROM n) AND to_id IN (SELECT node_id FROM n) ORDER BY edge_id LIMIT 75000""",
     "graph_label_search": f"{_G} SELECT node_id, label FROM g_node WHERE contains(lower(label), 'token') AND type = 'file' ORDER BY label, node_id LIMIT 50",
     "graph_filtered": f"{_G}, n AS (SELECT node_id FROM g_node WHERE contains(lower(label), 'src/') AND type = 'file') SELECT edge_id FROM g_edge WHERE type = 'imports' AND from_id IN (SELECT node_id FROM n) AND to_id IN (SELECT node_id FROM n)",
     "graph_adjacency": f"""{_G}, a AS (SELECT from_id AS node_id, 'out' AS direction, type, to_id AS o FROM g_edge UNION SELECT to_id, 'in', type, from_id FROM g_edge)

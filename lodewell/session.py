@@ -46,6 +46,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stamps(*frames: DataFrame) -> tuple[tuple[str, int, int], ...]:
+    """Name, size and time of the files that frames read: another value means other data."""
+    out = []
+    for df in frames:
+        spark = df.sparkSession
+        conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+        for name in sorted(df.inputFiles()):
+            s = (p := path(name)).getFileSystem(conf).getFileStatus(p)
+            out.append((name, s.getLen(), s.getModificationTime()))
+    return tuple(out)
+
+
 def publish_once(spark: SparkSession, draft: str, final: str) -> bool:
     """Gives the finished file draft the name final, once: False if another run has taken that name.
 
