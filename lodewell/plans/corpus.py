@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewell.functions import languages as lang
@@ -47,12 +47,13 @@ def hits(spark: SparkSession, d: str, name: str) -> DataFrame:
     return h.groupBy("query_id", "chunk_id", "path").agg(F.min("list_position").alias("rank"))
 
 
-def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The newest usable vector of each (chunk_id, provider, model)."""
+def vectors(spark: SparkSession, d: str, which: Column | None = None) -> DataFrame:
+    """The newest usable vector of each (chunk_id, provider, model); which restricts provider and model at the scan."""
     from lodewell.operators.changes import latest_by
     from lodewell.operators.vectors import usable
 
-    v = table(spark, d, "chunk_embeddings").filter(usable(F.col("embedding"), F.col("dimensions")))
+    v = table(spark, d, "chunk_embeddings")
+    v = (v if which is None else v.filter(which)).filter(usable(F.col("embedding"), F.col("dimensions")))
     return latest_by(v, ["chunk_id", "provider", "model"], [F.desc("created_at"), F.desc("embedding_id")])
 
 

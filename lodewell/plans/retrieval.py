@@ -9,6 +9,7 @@ from lodewell.functions.languages import is_boosted
 from lodewell.functions.text import token_count
 from lodewell.operators import fulltext, fusion, graph, metrics, vectors
 from lodewell.plans import corpus as C
+from lodewell.session import cut_lineage
 from lodewell.sources.tables import table
 
 
@@ -168,17 +169,17 @@ def hybrid_search(spark, d):
 
     Stored vectors come from a model that is not at hand for the questions, so a question's vector is that of its best text hit.
     """
-    found = _found(spark, d)
+    found = cut_lineage(_found(spark, d))  # a few rows a question, used three times
+    chunks = C.index(spark, d).chunks.select("chunk_id", "path", "tokens")
     e, model = _active(spark, d)
-    stored = C.vectors(spark, d).filter((F.col("provider") == "local") & (F.col("model") == model)).select("chunk_id", "model", "embedding")
+    stored = C.vectors(spark, d, (F.col("provider") == "local") & (F.col("model") == model)).select("chunk_id", "model", "embedding")
     asked = found.filter("rank = 1").join(stored, "chunk_id").select("query_id", "model", "embedding")
-    near = vectors.rank(stored.join(C.chunks(spark, d).select("chunk_id", "path"), "chunk_id"), asked, 20)
-    first = fusion.fuse([found, near], fusion.FIRST)
+    near = vectors.rank(stored.join(chunks.select("chunk_id", "path"), "chunk_id"), asked, 20)
+    first = cut_lineage(fusion.fuse([found, near], fusion.FIRST))
     n, edges = C.graph(spark, d)
-    around = graph.expand(first.filter("rank <= 5").select("query_id", "chunk_id"), n, edges, C.chunks(spark, d), 1, 15)
+    around = graph.expand(first.filter("rank <= 5").select("query_id", "chunk_id"), n, edges, chunks.select("chunk_id", "path"), 1, 15)
     f = fusion.fuse([first, around], fusion.SECOND)
-    t = C.chunks(spark, d).select("chunk_id", token_count(F.col("content")).alias("tokens"))
-    return _r6(fusion.pack(f.join(t, "chunk_id")), "score")
+    return _r6(fusion.pack(f.join(chunks.select("chunk_id", "tokens"), "chunk_id")), "score")
 
 
 def _quality(spark, d):
