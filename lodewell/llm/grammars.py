@@ -365,3 +365,10 @@ map = (entry)+ ;
 entry = 'pair' | 'open' ('indent' (map | seq) 'dedent' | seq)? ;
 seq = ('item' | 'iopen' ('indent' (map | seq) 'dedent')? | 'ipair' ('indent' map 'dedent')? | 'ikey' ('indent' (map | seq) 'dedent')?)+ ;
 """
+
+#: Flow collections within a YAML document.
+YAML_FLOW = """
+v = '[' (e (',' e)* ','?)? ']' | '{' (e (',' e)* ','?)? '}' ;
+e = n (':' n?)? | ':' n? ;
+n = 'plain'+ | 'str' | v ;
+"""

@@ -510,7 +510,7 @@ def _toml() -> Language:
 
 _Y_PLAIN = r"(?:(?![\[\]{}&*!|>%@`#'\",?:-]|[ \t])|[?:-](?=\S))(?:(?!: |:$| #)[^\n\x00-\x08\x0b-\x1f\x7f\ufeff\ufffe\uffff])*"
 _Y_SCALAR = rf"(?:{_Y_PLAIN}|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\n]|'')*'|\[[^\[\]{{}}#&*!|>%@`\"':\n]*\]|\{{\}})"
-_Y_KEY = r"(?:[A-Za-z0-9_./$-]+|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\n]|'')*')"
+_Y_KEY = r"(?:[A-Za-z0-9_./$][^\s:#,\[\]{}\"'&*!|>%`]*(?: [^\s:#,\[\]{}\"'&*!|>%`]+)*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\n]|'')*')"
 _Y_END = r"[ \t]*(?:[ \t]\#.*)?$"
 _Y_LINES = [
     ("pair", re.compile(rf"{_Y_KEY}:[ \t]+{_Y_SCALAR}{_Y_END}")),
@@ -523,23 +523,73 @@ _Y_LINES = [
 ]
 
 
+#: What may stand before a value on a line: an item's dash, a key, or both.
+_Y_LEAD = rf"(?P<item>-[ \t]+)?(?P<key>{_Y_KEY}:[ \t]+)?(?:[&!][^\s,\[\]{{}}]*[ \t]+)*"
+_Y_BLOCK = re.compile(rf"{_Y_LEAD}[|>](?:[+-]?(?P<by>[1-9])?[+-]?){_Y_END}")
+_Y_FLOW = re.compile(rf"{_Y_LEAD}(?=[\[{{])")
+_Y_FLOW_TOKEN = re.compile(
+    r"(?P<skip>(?:[ \t\r\n]+(?:#[^\n]*)?|[&!][^\s,\[\]{}]*)+)|(?P<str>\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*')|(?P<punct>[\[\]{},])"
+    r"|(?P<colon>:(?=[\s,\[\]{}]|$))|(?P<plain>(?:[^\s,\[\]{}#&!|>'\"%@`:?-]|[?:-](?=[^\s,\[\]{}]))(?:(?!:[\s,\[\]{}])(?![ \t]+#)[^\r\n,\[\]{}])*)",
+    re.S,
+)
+
+
 class Yaml:
-    """YAML by lines: the plain subset of block maps, sequences and scalars; the rest counts as bad."""
+    """YAML by lines: block maps and sequences, block scalars by their indentation, flow collections by a grammar of their own.
+
+    Scalars that run over several lines outside of these, complex keys and directives count as bad.
+    """
 
     def __init__(self):
-        self.grammar = Grammar(G.YAML, "file")
+        self.grammar, self.flow = Grammar(G.YAML, "file"), Grammar(G.YAML_FLOW, "v")
+
+    def _flow_end(self, text: str, at: int) -> int | None:
+        """Where the flow collection that starts at `at` ends; None if it is no sentence of its grammar."""
+        c, out, depth, last = self.flow.classes, [], 0, ""
+        while at < len(text):
+            if text[at] == ":" and last in ("str", "]", "}"):  # as in JSON, a value may follow at once
+                out.append(c[":"])
+                at, last = at + 1, ":"
+                continue
+            m = _Y_FLOW_TOKEN.match(text, at)
+            if m is None:
+                return None
+            at = m.end()
+            kind = m.lastgroup
+            if kind == "skip":
+                continue
+            last = m[0] if kind == "punct" else ":" if kind == "colon" else kind
+            out.append(c[last])
+            depth += (last in ("[", "{")) - (last in ("]", "}"))
+            if not depth:
+                return at if self.flow.run(out) is None else None
+        return None
 
     def error(self, text: str) -> tuple[str, int] | None:
         c = self.grammar.classes
         out, at, stack, pos = [], [], [0], 0
-        for line in text.split("\n"):
-            start, pos = pos, pos + len(line) + 1
-            body = line.rstrip("\r")
+        while pos <= len(text):
+            start = pos
+            end = text.find("\n", start)
+            end = len(text) if end < 0 else end
+            pos = end + 1
+            body = text[start:end].rstrip("\r")
             s = body.lstrip(" ")
             if not s.strip() or s.startswith("#"):
                 continue
             depth = len(body) - len(s)
-            name = next((n for n, p in _Y_LINES if p.match(s)), None)
+            if (m := _Y_BLOCK.match(s)) and (m["item"] or m["key"]):
+                name = "ipair" if m["item"] and m["key"] else "item" if m["item"] else "pair"
+                pos = self._block_end(text, pos, depth + (len(m["item"]) if name == "ipair" else 0), m["by"])
+            elif (m := _Y_FLOW.match(s)) is not None:
+                name = "ipair" if m["item"] and m["key"] else "item" if m["item"] else "pair" if m["key"] else "scalar"
+                stop = self._flow_end(text, start + depth + m.end())
+                if stop is None or not re.match(r"[ \t]*(?:[ \t]#[^\n]*)?\r?(?:\n|$)", text[stop : (text.find("\n", stop) + 1) or len(text)]):
+                    name = None
+                else:
+                    pos = (text.find("\n", stop) + 1) or len(text) + 1
+            else:
+                name = next((n for n, p in _Y_LINES if p.match(s)), None)
             if depth > stack[-1]:
                 stack.append(depth)
                 out.append(c["indent"])
@@ -556,6 +606,23 @@ class Yaml:
         r = self.grammar.run(out)
         return None if r is None else ("truncated", len(text)) if r >= len(out) else ("invalid", at[r])
 
+    @staticmethod
+    def _block_end(text: str, pos: int, parent: int, by: str | None) -> int:
+        """Where a block scalar below a node at column parent ends: at the first line that is less indented than its first one."""
+        least = parent + int(by) if by else None
+        while pos <= len(text):
+            end = text.find("\n", pos)
+            end = len(text) if end < 0 else end
+            line = text[pos:end].rstrip("\r")
+            depth = len(line) - len(line.lstrip(" "))
+            if line.strip(" "):
+                if least is None and depth > parent:
+                    least = depth
+                if least is None or depth < least:
+                    return pos
+            pos = end + 1
+        return pos
+
 
 # An exact parser that overflows on deep nesting has decided nothing: None.
 

@@ -181,6 +181,13 @@ def test_unparsable_frame(spark):
     assert syntax.unparsable(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("text", ["a: {b: [1, 2], c: 'x'}\n", "a: |\n  x\n   y\n\n  z\nb: 1\n", "a: |\n    x\n  y\nb: 1\n", "- a: >-\n    t\n  b: 2\n- [1,\n  2]\n", "a: [1, 2\nb: 3\n", "a: {b: 1}}\n", "{a: 1}\n",
+    "a: &x {b: 1}\nc: d\n", 'a: "x":y\n', 'a: {"b":1}\n', "a: [b, c] # note\n", "a: |2\n   x\n", "a: 'x\n", "p:\n  x@1.2:\n    r: {i: sha-a/b+c==}\n", "a: [b\n", "a: b\n<<<<<<< HEAD\nc: d\n", "a: |\nb: 1\n"])
+def test_yaml_grammar_agrees_with_the_exact_parser(text):
+    exact = syntax._exact_yaml(text)
+    assert syntax.yaml is None or (syntax.language("yaml").error(text) is None) == exact
+
+
 def test_deep_nesting_is_no_excuse():
     """An exact parser that overflows does not overrule the grammar, and the grammar takes any depth."""
     assert syntax.check("a.json", "[" * 20_000)[0] == "truncated" and syntax.check("a.json", "[" * 20_000 + "]" * 20_000) is None
