@@ -157,16 +157,20 @@ class _Lines:
 
 
 def _with_calls(out: Parsed, code: str, lines: _Lines, spans: list[tuple[int, int, str]], pattern: str, ignored: set[str], skip: str = r"(?!)") -> Parsed:
-    """Adds the calls found by pattern, each owned by the innermost span (start, end, name)."""
+    """Adds the calls found by pattern, each owned by the innermost span (start, end, name); one sweep over both."""
+    later, open_ = sorted(spans, reverse=True), []
     for m in re.finditer(pattern, code):
         full = m[1]
         name = re.split(r"::|\.", full)[-1]
         if name in ignored or re.search(skip, code[max(0, m.start() - 12) : m.start()]):
             continue
         out.called.append(name)
-        owner = max((s for s in spans if s[0] < m.start() < s[1]), default=None)
-        if owner:
-            out.calls.append((owner[2], full if full.startswith(("this.", "self.")) else name))
+        while later and later[-1][0] < m.start():
+            open_.append(later.pop())
+        while open_ and open_[-1][1] <= m.start():
+            open_.pop()
+        if open_:
+            out.calls.append((open_[-1][2], full if full.startswith(("this.", "self.")) else name))
     return out
 
 
@@ -261,18 +265,26 @@ def _script(text: str) -> Parsed:
         add(m.start(), 0, m[2], "function", bool(m[1]), end)
     for a, b, cls, exported in classes:
         depth_ok = re.compile(r"^[ \t]*(?:(?:public|private|protected|override|readonly|async)\s+)*(static\s+)?(?:async\s+)?(?:(get|set)\s+)?\*?(#?\w+)\s*(?:<[^>(]*>)?\([^{};]*\)(?:\s*:\s*[^{;]+)?\s*\{", re.M)
-        at = a
+        at, inside, covered = a, sorted((f for f in found if a < f[0] < b and f[2] != cls), reverse=True), 0
         while (m := depth_ok.search(code, at, b)) is not None:
             at = m.end()
-            if m[3] in _WORDS - {"constructor"} or any(s < m.start() < e and n != cls and s > a for s, e, n, *_ in found):
+            while inside and inside[-1][0] < m.start():
+                covered = max(covered, inside.pop()[1])
+            if m[3] in _WORDS - {"constructor"} or m.start() < covered:
                 continue
             mid = "static." if m[1] else f"{m[2]}." if m[2] else ""
             add(m.start(), m.end() - 1, f"{cls}.{mid}{m[3]}", "method", exported)
+            covered = max(covered, found[-1][1])
     found.sort()
     seen: set[str] = set()
+    callables: list[tuple] = []  # open ones, by their start
     for start, end, name, kind, exported in found:
-        outer = [f for f in found if f[0] < start and end <= f[1] and f[3] in ("function", "method")]
-        full = name if kind == "method" or not outer else f"{max(outer)[2]}.{name}"
+        while callables and callables[-1][1] <= start:
+            callables.pop()
+        outer = next((f for f in reversed(callables) if f[0] < start and end <= f[1]), None)
+        if kind in ("function", "method"):
+            callables.append((start, end, name))
+        full = name if kind == "method" or outer is None else f"{outer[2]}.{name}"
         if kind == "function" and (full, lines.of(start)) in seen:
             continue
         seen.add((full, lines.of(start)))
